@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from strandwise.llm import chat_format, exact_dedup, language_id, line_dedup, media, packing
+from strandwise.llm import chat_format, exact_dedup, language_id, line_dedup, lm_scoring, media, packing, suffix_dedup
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_language_id": language_id.op9_language_id,
     "op10_chat_formatting": chat_format.op10_chat_formatting,
 }
@@ -16,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op8_lm_scoring": lm_scoring.SQL,
     "op10_chat_formatting": chat_format.SQL,
 }
