@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from strandwise.llm.workspace import Workspace
 LIMIT = 4096
 END_ID = 1
 GROUP_PIECES = 40_000
-WORDS_HELD = 700_000
+WORDS_HELD = 1_500_000
 NEARLY_FULL = 8
 
 
@@ -39,50 +40,94 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Words(dict):
+    """Number of each word; a new word gets the next number and is put on ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """Ids of whole texts, from the ids of their white-space separated words.
 
     The tokenizer drops white space before anything else that looks past it, so a text's ids are its
     words' ids in order; each distinct word is encoded once while the table of words (bounded) holds it.
+    It lower-cases, and parts punctuation from letters, which is done here first where that is safe, so
+    that fewer words are distinct.  Words of letters alone are one run each, whose last id closes a
+    word, so many of them go through one call.
     """
 
+    _POINT = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=\s)")
+    CLOSES = "</w>"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        vocabulary = self.tok.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for w, i in vocabulary.items() if w.endswith(self.CLOSES)]] = True
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Words()
         self.flat, self.used = np.empty(1 << 16, "<u4"), 0
         self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        got = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        own = [e.ids for e in got]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        total, n = int(sizes.sum()), len(self.known)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, self.flat])
-        while n + len(words) > len(self.starts):
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        """Encode the new words, which have the last numbers."""
+        words = [w.decode("utf-8", "replace") for w in self.known.new]
+        n = len(self.known) - len(words)
+        self.known.new.clear()
+        while len(self.known) > len(self.starts):
             self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
-        self.flat[self.used : self.used + total] = np.fromiter((x for ids in own for x in ids), "<u4", total)
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(words)] = sizes
-        self.used += total
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        plain = [k for k, w in enumerate(words) if w.isalpha()]
+        other = [k for k, w in enumerate(words) if not w.isalpha()]
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = np.array(self._ids([" ".join([words[k] for k in part])])[0], "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(part):
+                self._add(n + np.array(part), ids, np.diff(ends, prepend=0))
+            else:
+                other += part
+        if other:
+            got = self._ids([words[k] for k in other])
+            self._add(n + np.array(other), np.array([x for ids in got for x in ids], "<u4"), np.array([len(ids) for ids in got], np.int64))
+
+    def _add(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
+        self.used += len(ids)
+
+    def _split(self, text: bytes) -> list[bytes]:
+        # Lower case could make a special token of what is none.
+        return text.split() if b"<|" in text else self._POINT.sub(rb" \1", text.lower()).split()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.known) > WORDS_HELD:
             self.reset()
-        split = [t.split() for t in texts]
-        known = self.known
-        if new := list({w for ws in split for w in ws if w not in known}):
-            self._learn(new)
+        places = []
+        for t in texts:
+            words = self._split(t)
+            places.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+        if self.known.new:
+            self._learn()
         out = []
-        for ws in split:
-            at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
+        for at in places:
             sizes = self.sizes[at]
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else 0
