@@ -26,25 +26,36 @@ LEADING = 2
 MIN_DOCS = 5
 
 
-def _generalised(line: Column) -> Column:
-    squeezed = F.trim(F.regexp_replace(line, r"[ \t\r\x0B\f]+", " "))
-    return F.regexp_replace(squeezed, r"[^ ]*[0-9][^ ]*", "<*>")
+def _generalised(lines: Column) -> Column:
+    """Each line's tokens with one space between them, and variable fields as ``<*>``.
 
+    Regular expressions are slow, so only lines that need them meet them.  Each step is a transform of
+    its own, since an expression that a lambda uses twice is computed twice.
+    """
+    trimmed = F.transform(lines, F.trim)
+    squeezed = F.transform(trimmed, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
+    return F.transform(squeezed, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(x))
 
-def _template(line: Column) -> Column:
+
+def _template(general: Column) -> Column:
     """Hash of the path and the template; null for a blank line."""
-    general = _generalised(line)
     path = F.concat_ws(" ", F.size(F.split(general, " ")), F.substring_index(general, " ", LEADING))
     return F.when(general != "", F.struct(F.xxhash64(path).alias("leaf"), F.xxhash64(general).alias("template")))
 
 
+def _spaced(text: Column) -> Column:
+    """Other white space than line ends as spaces."""
+    other = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\f"))
+    return F.when(other, F.translate(text, "\t\r\x0b\f", "    ")).otherwise(text)
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
 def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, version, pos, leaf, template, around): a row per line that isn't blank."""
-    places = F.transform(F.array(F.transform(_lines(F.col(text_col)), _template)), lambda t: F.transform(t, lambda x, i: F.struct(i.alias("pos"), x.alias("t"), F.xxhash64(F.get(t, i - 1), F.get(t, i + 1)).alias("around"))))
+    places = F.transform(F.array(F.transform(_generalised(_lines(_spaced(F.col(text_col).cast("string")))), _template)), lambda t: F.transform(t, lambda x, i: F.struct(i.alias("pos"), x.alias("t"), F.xxhash64(F.get(t, i - 1), F.get(t, i + 1)).alias("around"))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"), F.inline(F.flatten(places)))
     return rows.filter(F.col("t").isNotNull()).select("doc_id", "version", "pos", "t.leaf", "t.template", "around")
 
