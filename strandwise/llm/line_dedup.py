@@ -72,7 +72,9 @@ def places_to_drop(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOC
     """(doc_id, version, gone): positions of the lines that go, for the documents that lose any."""
     ws = Workspace(spark, "lines")
     lines = ws.save(line_templates(docs, id_col, text_col), "lines")
-    gone = lines.join(recurring(lines, min_docs), ["leaf", "template"]).select("doc_id", "version", "pos")
+    # Written first, so that the join reads both sides from shuffles and a hot template's lines can be split.
+    templates = ws.save(recurring(lines, min_docs), "templates")
+    gone = lines.join(templates.hint("merge"), ["leaf", "template"]).select("doc_id", "version", "pos")
     places = ws.save(gone.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("gone")), "places")
     ws.close("places")
     return places
@@ -82,7 +84,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, i
     """``docs`` with the recurring lines taken out of ``text_col``, and the lines' counts in
     ``__n_lines`` and ``__n_dropped``."""
     places = places_to_drop(spark, docs, min_docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("gone").alias("__gone"))
-    joined = docs.join(places, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__version")), "left")
+    joined = docs.join(places.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__version")), "left")
     lines = _lines(F.col(text_col))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     n_gone = F.coalesce(F.size("__gone"), F.lit(0))
