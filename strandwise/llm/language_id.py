@@ -135,8 +135,9 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> tupl
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score, the posterior probability of lang_pred."""
+    """``keep`` columns of ``docs`` (text) with lang_pred and score, the posterior probability of lang_pred."""
     langs, table, prior = model
+    text = "text" if "text" in keep else "__text"
     shared = docs.sparkSession.sparkContext.broadcast((langs, table, prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
             n = b.num_rows
             pred, best = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
             if names and n:
-                joint = score(b.column("__text").to_pylist(), logp, base)
+                joint = score(b.column(text).to_pylist(), logp, base)
                 seen = ~np.isnan(joint[:, 0])
                 j = joint[seen]
                 top = j.argmax(axis=1) if len(j) else np.zeros(0, int)
@@ -153,8 +154,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
                 best[seen] = 1.0 / np.exp(j - j.max(axis=1, keepdims=True)).sum(axis=1) if len(j) else []
             yield pa.record_batch([*[b.column(c) for c in keep], pa.array(pred.tolist(), pa.string()), pa.array(best)], names=[*keep, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    rows = docs.select(*keep) if text == "text" else docs.select(*keep, F.col("text").alias("__text"))
+    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -168,5 +170,12 @@ def language_id(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) ->
     return predict(rows.select("doc_id", held_out().alias("held_out"), "text"), model, ["doc_id", "held_out"])
 
 
+def accepted(docs: DataFrame, least_score: float = 0.5, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, ...) whose language is known with at least ``least_score``."""
+    model = fit(docs.filter(~held_out()).select(F.col("doc_id").alias("key"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), rows_per_language)
+    rows = predict(docs, model, docs.columns)
+    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*docs.columns)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))

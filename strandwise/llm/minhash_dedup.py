@@ -300,8 +300,17 @@ def near_components(spark: SparkSession, docs: DataFrame, tile: int = TILE) -> D
     of_class = ws.save(members.join(smallest, "root").select("cls", "component"), "of_class")
     joined = signed.select("doc_id", "text_key", "n_shingles", "cls").join(of_class, "cls", "left")
     found = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("component"), F.lit(NULL_ID)))
-    ws.drop("pairs1", "pairs2", "texts", "some", "tried1", "tried2", "nodes")
-    return joined.select("doc_id", "text_key", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
+    result = ws.save(joined.select("doc_id", "text_key", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept")), "result")
+    ws.close("result")
+    return result
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that their components keep."""
+    found = near_components(spark, docs.select("doc_id", "text")).filter("kept")
+    kept = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
+    return docs.join(kept.hint("merge"), same, "left_semi")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

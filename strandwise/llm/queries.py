@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandwise.llm import chat_format, exact_dedup, language_id, line_dedup, lm_scoring, media, minhash_dedup, packing, suffix_dedup
+from strandwise.llm import chat_format, exact_dedup, language_id, line_dedup, lm_scoring, media, minhash_dedup, packing, sentencepiece_sampling, suffix_dedup
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_sentencepiece_sampling": sentencepiece_sampling.op3_sentencepiece_sampling,
     "op4_minhash_near_dedup": minhash_dedup.op4_minhash_near_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,

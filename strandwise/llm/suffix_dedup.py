@@ -230,7 +230,7 @@ def _kept(with_text: bool):
                     parts.append(text[at:s])
                     at = e
                 kept = b"".join([*parts, text[at:]])
-                out.append((None if ids[d] == blocks.NULL_ID else ids[d], hashlib.sha256(text).digest(), len(text) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                out.append((None if ids[d] == blocks.NULL_ID else ids[d], hashlib.sha256(text).digest(), len(text) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore").encode() if with_text else None))
             if out:
                 cols = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary())
@@ -246,7 +246,8 @@ def _digest(text_col: str):
 def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, digest, n_bytes, n_removed, n_spans, kept_sha256, kept: one row per row of ``docs`` (doc_id, text).
 
-    ``kept`` is what stays of texts that lose bytes, if ``with_text``, and null otherwise.
+    ``kept`` is what stays of texts that lose bytes, if ``with_text``, and null otherwise; it is UTF-8, so
+    where a cut parts a character, the character's other bytes go from it too.
     """
     ws = Workspace(spark, "suffix")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("digest", _digest("text"))
@@ -255,7 +256,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False)
     firsts = keys.filter(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min(order).alias("first"))
     # One row of each text that is long enough to share anything.
     chosen = firsts.select(F.col("first").alias("__id"), F.col("digest").alias("__digest"))
-    alone = rows.withColumn("__order", order).join(chosen, (F.col("__order") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_semi")
+    alone = rows.withColumn("__order", order).join(chosen.hint("merge"), (F.col("__order") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_semi")
     chunks = blocks.write_chunks(ws, alone.select("doc_id", "text"))
     bits = blocks.range_bits(chunks)
     names = ws.save(blocks.exchange(chunks, _send_names(bits), _merge_names), "names")
@@ -281,5 +282,14 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False)
     )
 
 
+def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, ...) without repeated bytes; rows of which nothing stays go."""
+    cut = suffix_dedup(spark, docs.select("doc_id", "text"), with_text=True).filter("kept is not null").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("kept").cast("string").alias("__kept"))
+    cut = cut.dropDuplicates(["__id", "__digest"])
+    joined = docs.join(cut.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_digest("text") == F.col("__digest")), "left")
+    text = F.coalesce(F.col("__kept"), F.col("text"))
+    return joined.filter("__kept is null or __kept <> ''").select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("digest", "kept")
