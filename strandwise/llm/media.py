@@ -163,11 +163,13 @@ class RangeReader:
         return self.file.read_at(length, offset)
 
 
-def _mapped(one, extra: tuple[tuple[str, pa.DataType], ...], keep: tuple[str, ...]):
+def _mapped(reads: tuple, extra: tuple[tuple[str, pa.DataType], ...], keep: tuple[str, ...]):
+    """Adds to each locator what ``reads`` give, in one pass, so that a task needs one Python worker."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = RangeReader()
         for b in batches:
-            got = [one(reader, *x) for x in zip(*(b.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True)]
+            got = [sum((read(reader, *x) for read in reads), ()) for x in zip(*(b.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True)]
             cols = list(zip(*got, strict=True)) or [()] * len(extra)
             yield pa.record_batch([*[b.column(c) for c in keep], *[pa.array(c, t) for c, (_, t) in zip(cols, extra, strict=True)]], names=[*keep, *[n for n, _ in extra]])
 
@@ -194,25 +196,29 @@ def locators(manifest: DataFrame) -> DataFrame:
     return first.select("payload_sha256", "at.*").repartition("shard").sortWithinPartitions("shard", "offset")
 
 
+_METADATA = (("width", pa.int64()), ("height", pa.int64()), ("bits", pa.int32()), ("channels", pa.int32()))
+_CONTENT = (("payload_bytes", pa.int64()), ("read_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
+
+
+def _schema(extra: tuple) -> str:
+    return ", ".join([_LOCATOR, *[f"{n} { {pa.int64(): 'long', pa.int32(): 'int', pa.string(): 'string'}[t] }" for n, t in extra]])
+
+
 def read_metadata(found: DataFrame) -> DataFrame:
-    """Adds width, height, bits and channels, reading headers only."""
-    extra = (("width", pa.int64()), ("height", pa.int64()), ("bits", pa.int32()), ("channels", pa.int32()))
-    return found.mapInArrow(_mapped(_head, extra, LOCATOR), _LOCATOR + ", width long, height long, bits int, channels int")
+    """Locators with width, height, bits and channels, reading headers only."""
+    return found.mapInArrow(_mapped((_head,), _METADATA, LOCATOR), _schema(_METADATA))
 
 
-def read_features(found: DataFrame) -> DataFrame:
-    """Adds what the payloads read back have."""
-    keep = tuple(found.columns)
-    extra = (("payload_bytes", pa.int64()), ("read_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
-    return found.mapInArrow(_mapped(_features, extra, keep), fields + ", payload_bytes long, read_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def read_media(found: DataFrame) -> DataFrame:
+    """Locators with the metadata of the headers, and with what the payloads read back have."""
+    return found.mapInArrow(_mapped((_head, _features), _METADATA + _CONTENT, LOCATOR), _schema(_METADATA + _CONTENT))
 
 
 def media_columns(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", payload_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, payload_sha256 with its locator, metadata, and features read back."""
     ws = Workspace(spark, "media")
     manifest = ws.save(store(docs, ws.path("shards"), id_col, payload_col), "manifest")
-    got = ws.save(read_features(read_metadata(locators(manifest))), "features")
+    got = ws.save(read_media(locators(manifest)), "features")
     return manifest.select("doc_id", "n_bytes", "payload_sha256").join(got, "payload_sha256")
 
 
