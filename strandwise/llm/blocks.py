@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from strandwise.llm.workspace import Workspace
 
-CHUNK_BYTES = 4 << 20
-CHUNKS_PER_RANGE = 2
+CHUNK_BYTES = 2 << 20
+CHUNKS_PER_RANGE = 4
 LEAST_RANGE_BITS = 7
 NULL_ID = (1 << 63) - 1
 
