@@ -7,11 +7,13 @@ hashes; inside, rows lie next to the rows with which they share the longest pref
 ``TILE`` rows are compared whole by two-bit sketches of all minimum hashes; longer ones in tiles that
 overlap by half, which is to say at the depth at which rows lie within half a tile of each other.
 
-No region emits all its pairs.  A first round takes, for each class, its most similar partner and its
-hub (the row of the region with most similar rows); these are confirmed on the full sets, and linked
-classes joined to components.  A second round takes every pair that still lies in two components,
-and confirms it.  Copies and large families are one component after the first round, so the second
-has only pairs that may be links between families, or are no links.
+No region emits all its pairs.  A tile joins the rows whose sketches may be links and emits a spanning
+forest of them; the forests' connected components are families, outside of which nothing can be
+linked.  A family of up to ``FAMILY`` classes is settled on the full sets by one task, which walks an
+inverted index from class to class and drops what is reached, so its copies are never paired with each
+other.  A larger family takes two rounds of pairs: first each class with its most similar partner and
+its hub (the row of a tile with most similar rows), confirmed on the full sets; then every pair that
+may be a link and still lies in two components.
 
 A pair at similarity 0.75 shares a region of some tree but for 2.4e-8 of the cases, and passes the
 sketch but for about 1e-6.  There is no cap on partners.
@@ -41,6 +43,7 @@ LEVELS = 3
 HASHES = TREES * LEVELS
 SKETCH_WORDS = HASHES // 32
 TILE = 8192
+FAMILY = 8192
 #: Sketches estimate 0.75 with a standard error of 0.053; pairs below this estimate aren't confirmed.
 LEAST_ESTIMATE = 0.48
 HUB_ESTIMATE = 0.7
@@ -180,9 +183,38 @@ def _tile_all(sketch: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray],
     return a, b, v, [np.zeros(len(x), np.int64) for x in a]
 
 
-def _scan(every: bool, tile: int):
-    """Candidate pairs of sorted branches, holding at most a tile of a region."""
-    compare = _tile_all if every else _tile_best
+def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of each of n rows' components over the edges (a, b)."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _tile_forest(sketch: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """A spanning forest of the pairs that may be links: each row with the first of its component."""
+    m = len(sketch)
+    root = np.arange(m)
+    step = max(1, (1 << 20) // m)
+    for s in range(0, m, step):
+        i, j = np.nonzero(estimates(sketch[s : s + step, None], sketch[None]) >= LEAST_ESTIMATE)
+        root = root[local_components(m, root[i + s], root[j])][root]
+        root = root[root]
+    rows = np.flatnonzero(root != np.arange(m))
+    return [rows], [root[rows]], [np.zeros(len(rows))], [np.zeros(len(rows), np.int64)]
+
+
+_COMPARE = {"forest": _tile_forest, "best": _tile_best, "all": _tile_all}
+
+
+def _scan(mode: str, tile: int):
+    """Pairs of sorted branches, holding at most a tile of a region."""
+    compare = _COMPARE[mode]
 
     def pairs(cls: np.ndarray, label: np.ndarray, sketch: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch | None:
         a, b, v, g = [], [], [], []
@@ -232,12 +264,15 @@ def _scan(every: bool, tile: int):
     return run
 
 
-def candidates(nodes: DataFrame, every: bool, tile: int = TILE) -> DataFrame:
-    """Distinct candidate pairs (a, b, estimate, degree) of ``nodes`` (cls, label, sig) of different labels."""
+def candidates(nodes: DataFrame, mode: str, tile: int = TILE) -> DataFrame:
+    """Distinct pairs (a, b, estimate, degree) of ``nodes`` (cls, label, sig) of different labels.
+
+    ``mode``: ``forest`` for spanning forests, ``best`` for each row's best partner and hub, ``all`` for every pair.
+    """
     rows = nodes.select("cls", "label", "sig").mapInArrow(_grow, BRANCHES)
     # By range, so that a region that is most of a tree still spreads over tasks.
     dealt = rows.repartitionByRange("key", "rest").sortWithinPartitions("key", "rest", "cls")
-    return dealt.mapInArrow(_scan(every, tile), PAIRS).groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.max("degree").alias("degree"))
+    return dealt.mapInArrow(_scan(mode, tile), PAIRS).groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.max("degree").alias("degree"))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +306,85 @@ def chosen(pairs: DataFrame) -> DataFrame:
     return best.select(F.inline(F.array(F.struct("x.a", "x.b"), F.struct("y.a", "y.b")))).distinct()
 
 
-def near_components(spark: SparkSession, docs: DataFrame, tile: int = TILE) -> DataFrame:
+def family_links(sets: list[np.ndarray]) -> np.ndarray:
+    """Component (its smallest member) of each of a family's sets of hashes, by exact similarity."""
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), sizes)
+    order = np.argsort(token, kind="stable")
+    posting = owner[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(token))])
+    begin = np.cumsum(sizes) - sizes
+    root, free, n_free = np.full(m, -1), np.ones(m, bool), m
+    for start in range(m):
+        if root[start] >= 0:
+            continue
+        root[start], free[start], n_free = start, False, n_free - 1
+        queue = [start]
+        while queue and n_free:
+            x = queue.pop()
+            own = token[begin[x] : begin[x] + sizes[x]]
+            lo, n = first[own], first[own + 1] - first[own]
+            at = np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+            near = posting[at]
+            common = np.bincount(near[free[near]], minlength=m)
+            found = np.flatnonzero((OF * common >= SIMILAR * (sizes[x] + sizes - common)) & free)
+            root[found], free[found] = start, False
+            n_free -= len(found)
+            queue += found.tolist()
+        # Postings of classes that are reached are dead weight.
+        if n_free * 2 < len(free) - start and n_free:
+            alive = free[posting]
+            first = np.concatenate([[0], np.cumsum(alive)])[first]
+            posting = posting[alive]
+    return root
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): each class with the first of its component, from rows (family, cls, text) sorted by family."""
+
+    def settled(family: list[int], cls: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        d, h = shingle_sets(texts)
+        edges = np.searchsorted(d, np.arange(len(texts) + 1))
+        sets = [h[edges[k] : edges[k + 1]] for k in range(len(texts))]
+        cuts = np.flatnonzero(np.diff(np.array(family), prepend=family[0] ^ 1))
+        u, v = [], []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(family)], strict=True):
+            for k, r in enumerate(family_links(sets[a:b]).tolist()):
+                if r != k:
+                    u.append(cls[a + k])
+                    v.append(cls[a + r])
+        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    family: list[int] = []
+    cls: list[int] = []
+    texts: list[bytes] = []
+    for b in batches:
+        for f, c, t in zip(b.column("family").to_pylist(), b.column("cls").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if len(texts) >= SLICE and f != family[-1]:
+                yield settled(family, cls, texts)
+                family, cls, texts = [], [], []
+            family.append(f)
+            cls.append(c)
+            texts.append(t or b"")
+    if texts:
+        yield settled(family, cls, texts)
+
+
+def _pair_links(ws: Workspace, nodes: DataFrame, texts: DataFrame, tile: int) -> DataFrame:
+    """(u, v) links of classes in families too large for a task."""
+    ends = lambda rows: rows.filter("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = ws.save(candidates(nodes.withColumn("label", F.col("cls")), "best", tile), "pairs1")
+    tried = ws.save(confirm(chosen(pairs), texts), "tried1")
+    roots = components(ws, ends(tried), "first")
+    labelled = nodes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("root", "cls"))
+    left = ws.save(candidates(labelled, "all", tile).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs2")
+    more = ws.save(confirm(left, texts), "tried2")
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(ends(more))
+
+
+def near_components(spark: SparkSession, docs: DataFrame, tile: int = TILE, family: int = FAMILY) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text)."""
     ws = Workspace(spark, "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").cast("binary").alias("text"))
@@ -280,27 +393,30 @@ def near_components(spark: SparkSession, docs: DataFrame, tile: int = TILE) -> D
     classes = signed.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(order.alias("least"), "text_key", "sig")).alias("r"))
     nodes = ws.save(classes.select("cls", "r.least", "r.text_key", "r.sig"), "nodes")
 
-    pairs = ws.save(candidates(nodes.withColumn("label", F.col("cls")), False, tile), "pairs1")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    some = ws.save(nodes.join(wanted, "cls"), "some")
-    ids = some.select("cls", F.col("least").alias("__least"), F.col("text_key").alias("__key"))
-    texts = rows.withColumn("__order", order).join(ids, (F.col("__order") == F.col("__least")) & (F.col("text_key") == F.col("__key"))).select("cls", "text")
+    forest = ws.save(candidates(nodes.withColumn("label", F.col("cls")), "forest", tile).select(F.col("a").alias("u"), F.col("b").alias("v")), "forest")
+    ws.release()
+    roots = components(ws, forest, "families")
+    members = ws.save(roots.select(F.col("node").alias("cls"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("cls"), F.col("root").alias("family")).distinct()), "members")
+    some = ws.save(nodes.join(members, "cls"), "some")
+    ids = some.select("cls", "family", F.col("least").alias("__least"), F.col("text_key").alias("__key"))
+    texts = rows.withColumn("__order", order).join(ids.hint("merge"), (F.col("__order") == F.col("__least")) & (F.col("text_key") == F.col("__key"))).select("family", "cls", "text")
     texts = ws.save(texts.dropDuplicates(["cls"]), "texts")
-    tried = ws.save(confirm(chosen(pairs), texts), "tried1")
-    links = tried.filter("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = components(ws, links, "first")
-
-    labelled = some.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("root", "cls"))
-    left = candidates(labelled, True, tile).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = ws.save(confirm(ws.save(left, "pairs2"), texts), "tried2").filter("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = components(ws, roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "second")
-
-    members = nodes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    smallest = members.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = ws.save(members.join(smallest, "root").select("cls", "component"), "of_class")
+    ws.release()
+    large = members.groupBy("family").agg(F.count("*").alias("n")).filter(F.col("n") > family).select("family").persist()
+    small = texts.join(large, "family", "left_anti").repartition("family").sortWithinPartitions("family", "cls")
+    links = ws.save(small.mapInArrow(_settle, "u long, v long"), "links")
+    if large.count():
+        own = some.join(large, "family", "left_semi")
+        links = links.unionByName(_pair_links(ws, own, texts.join(large, "family", "left_semi"), tile))
+    roots = components(ws, links, "settled")
+
+    own = nodes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    smallest = own.groupBy("root").agg(F.min("least").alias("component"))
+    of_class = ws.save(own.join(smallest, "root").select("cls", "component"), "of_class")
     joined = signed.select("doc_id", "text_key", "n_shingles", "cls").join(of_class, "cls", "left")
     found = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("component"), F.lit(NULL_ID)))
     result = ws.save(joined.select("doc_id", "text_key", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept")), "result")
+    large.unpersist()
     ws.close("result")
     return result
 
