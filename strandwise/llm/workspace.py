@@ -1,54 +1,5 @@
-"""Tables that cut lineage, in the folder that all executors share."""
+"""Where operators keep written tables; see :mod:`strandwise.workspace`."""
 
-from __future__ import annotations
+from strandwise.workspace import CHECKPOINT_KEY, Workspace, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; one of our own only where the setting is absent."""
-    found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strandwise-")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
-
-
-class Workspace:
-    """Written tables of one operator run.
-
-    ``save`` writes a DataFrame and returns a reader of the files, so a lost executor
-    costs a re-read, not a recomputation.  ``drop`` deletes what later steps no longer read;
-    ``close`` deletes everything but the named tables.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.saved: set[str] = set()
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
-        self.saved.add(name)
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            at.getFileSystem(conf).delete(at, True)
-            self.saved.discard(name)
-
-    def close(self, *keep: str) -> None:
-        self.drop(*(self.saved - set(keep)))
-        # Shuffle files go when the JVM collects the frames that made them.
-        self.spark._jvm.System.gc()
+__all__ = ["CHECKPOINT_KEY", "Workspace", "shared_dir"]
