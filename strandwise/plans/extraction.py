@@ -19,7 +19,10 @@ _OBJECT = "struct<entities: array<string>, named_entities: array<string>, triple
 
 
 def _valid(x: Column) -> Column:
-    return F.when(F.expr("1 = 1") & F.try_parse_json(x).isNotNull(), x)
+    """``x`` if it is one JSON value and nothing else.  The parser stops at the end of a first value, so the
+    value is parsed as the only item of a list."""
+    listed = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+    return F.when(F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull(), x)
 
 
 def _between(x: Column, first: str, last: str) -> Column:

@@ -124,7 +124,7 @@ def constraints(items: DataFrame) -> DataFrame:
 
 def clean_plan(triples: Column) -> Column:
     """A planner's triples: ends stripped, variants distinct as written."""
-    return F.transform(triples, lambda x: F.struct(text(x["head"]).alias("head"), distinct_exact(x["relation_variants"]).alias("relation_variants"), text(x["tail"]).alias("tail")))
+    return F.transform(triples, lambda x: F.struct(text(x["head"]).alias("head"), text(x["tail"]).alias("tail"), distinct_exact(x["relation_variants"]).alias("relation_variants")))
 
 
 def take(rows: DataFrame, n: int | None) -> DataFrame:
