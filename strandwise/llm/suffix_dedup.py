@@ -6,12 +6,14 @@ Suffixes need to be told apart only by their first ``LENGTH`` bytes, so the recu
    positions i, j have a shift below 31 at which both are sampled, so two equal strings of 50 bytes
    hold two sampled positions at the same place with at least 20 bytes left in the string.
 2. Sort the sampled 20-byte tuples across the cluster (by fingerprint, as in sorting names) and keep
-   the positions whose name another document has.  All other suffixes have no partner.
+   the positions whose name another document has.  All other suffixes have no partner.  Recurse on
+   the names that are left with longer tuples, of 35 and 36 bytes: every string that holds a kept
+   position holds one of its two.
 3. Merge: the remaining suffixes are those within 31 bytes before a kept position.  Their 50-byte
    prefixes are sorted across the cluster and adjacent equal ones compared by document: a prefix
    whose smallest document is smaller than the one at hand marks its 50 bytes.
 
-Both sorts exchange distinct keys of chunks (see ``blocks``).  Names may collide without harm, since
+All sorts exchange distinct keys of chunks (see ``blocks``).  Names may collide without harm, since
 they only admit positions; prefixes are compared by 64-bit fingerprints.  Copies of a whole text are
 found by digest first and never sampled.
 
@@ -39,6 +41,7 @@ LENGTH = 50
 MODULUS = 31
 COVER = (1, 5, 11, 24, 25, 27)
 TUPLE = LENGTH - MODULUS + 1
+HALF = 15
 NAME_BITS = 29
 
 _IN_COVER = np.zeros(MODULUS, bool)
@@ -99,11 +102,38 @@ def _cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(steps)[:n] > 0
 
 
-SEGMENTS = "chunk_id long, ids array<long>, docs array<int>, starts array<long>, sizes array<long>, text binary"
+SEGMENTS = "chunk_id long, ids array<long>, docs array<int>, starts array<long>, sizes array<long>, text binary, marks array<long>"
+
+
+def _windows(data: np.ndarray, offsets: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The bytes of the windows that begin in one of [low, high], as maximal pieces that keep within the units at
+    ``offsets``: (unit, start in data, bytes) of each."""
+    starts, ends = _runs(_cover(low, high + 1, len(data)))
+    # A run of windows may go on from one unit to the next.
+    unit = np.searchsorted(offsets, starts, side="right") - 1
+    last = np.searchsorted(offsets, ends - 1, side="right") - 1
+    cuts = np.sort(np.concatenate([starts, *[offsets[u + 1 : e + 1] for u, e in zip(unit, last, strict=True) if e > u]]))
+    stop = np.minimum(np.append(cuts[1:], len(data)), ends[np.searchsorted(starts, cuts, side="right") - 1])
+    return np.searchsorted(offsets, cuts, side="right") - 1, cuts, [data[a : b + LENGTH - 1] for a, b in zip(cuts, stop, strict=True)]
+
+
+def _segment_batch(row: dict, docs: np.ndarray, starts: np.ndarray, pieces: list[np.ndarray], marks: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch(
+        [
+            pa.array([row["chunk_id"]], pa.int64()),
+            pa.array([row["ids"]], pa.list_(pa.int64())),
+            pa.array([docs.tolist()], pa.list_(pa.int32())),
+            pa.array([starts.tolist()], pa.list_(pa.int64())),
+            pa.array([[len(p) for p in pieces]], pa.list_(pa.int64())),
+            pa.array([np.concatenate(pieces).tobytes()], pa.binary()),
+            pa.array([marks.tolist()], pa.list_(pa.int64())),
+        ],
+        names=[x.split()[0] for x in SEGMENTS.split(", ")],
+    )
 
 
 def _segments(bits: int):
-    """Of a chunk, the stretches of text whose 50-byte windows may have a partner."""
+    """Of a chunk, the stretches of text whose 50-byte windows may have a partner, and the kept positions in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in blocks.rows_of(batches):
@@ -112,36 +142,70 @@ def _segments(bits: int):
                 continue
             at, place, _, _ = _names(row, bits)
             kept = np.sort(at[np.concatenate([blocks.unpack_bits(r) for r in replies])[place]])
-            if not len(kept):
-                continue
             data, offsets, _ = blocks.arrays_of(row)
             doc = np.searchsorted(offsets, kept, side="right") - 1
             low, high = np.maximum(kept - (MODULUS - 1), offsets[doc]), np.minimum(kept, offsets[doc + 1] - LENGTH)
             fit = high >= low
             if not fit.any():
                 continue
-            windows = _cover(low[fit], high[fit] + 1, len(data))
-            starts, ends = _runs(windows)
-            # A run of windows may cross from one document to the next.
-            doc = np.searchsorted(offsets, starts, side="right") - 1
-            cuts = np.concatenate([starts, *[offsets[d + 1 : e + 1] for d, e in zip(doc, np.searchsorted(offsets, ends - 1, side="right") - 1, strict=True) if e > d]])
-            cuts.sort()
-            stop = np.append(cuts[1:], len(data))
-            where = np.searchsorted(starts, cuts, side="right") - 1
-            stop = np.minimum(stop, ends[where])
-            doc = np.searchsorted(offsets, cuts, side="right") - 1
-            pieces = [data[a : b + LENGTH - 1] for a, b in zip(cuts, stop, strict=True)]
-            yield pa.record_batch(
-                [
-                    pa.array([row["chunk_id"]], pa.int64()),
-                    pa.array([row["ids"]], pa.list_(pa.int64())),
-                    pa.array([doc.tolist()], pa.list_(pa.int32())),
-                    pa.array([(cuts - offsets[doc]).tolist()], pa.list_(pa.int64())),
-                    pa.array([[len(p) for p in pieces]], pa.list_(pa.int64())),
-                    pa.array([np.concatenate(pieces).tobytes()], pa.binary()),
-                ],
-                names=[x.split()[0] for x in SEGMENTS.split(", ")],
-            )
+            docs, cuts, pieces = _windows(data, offsets, low[fit], high[fit])
+            own = np.cumsum([0] + [len(p) for p in pieces])[:-1]
+            piece = np.searchsorted(cuts, low[fit], side="right") - 1
+            yield _segment_batch(row, docs, cuts - offsets[docs], pieces, own[piece] + kept[fit] - cuts[piece])
+
+    return run
+
+
+def _longer(row: dict, bits: int) -> tuple[np.ndarray, ...]:
+    """The longer tuples of a row's segments: (low, high) of the windows that each stands for, its name's place, the
+    sorted names, and which of them several documents of the chunk have.
+
+    A window that holds a kept position in its first HALF + 1 bytes holds the LENGTH - HALF bytes from there on;
+    any other holds the HALF + 1 bytes before it with the TUPLE bytes from there on.
+    """
+    data, sizes, marks = np.frombuffer(row["text"], np.uint8), np.array(row["sizes"], np.int64), np.array(row["marks"], np.int64)
+    docs = np.array(row["docs"], np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    # A mark may lie where no window of its segment begins, but never outside of the segment's windows' bytes.
+    seg = np.searchsorted(offsets, marks, side="right") - 1
+    first, last = offsets[seg], offsets[seg + 1] - LENGTH
+    after_low, after_high = np.maximum(marks - HALF, first), np.minimum(marks, last)
+    before_low, before_high = np.maximum(marks - (MODULUS - 1), first), np.minimum(marks - HALF - 1, last)
+    after, before = np.flatnonzero(after_high >= after_low), np.flatnonzero(before_high >= before_low)
+    h = np.concatenate([blocks.gram_hashes(data, LENGTH - HALF)[marks[after]], blocks.gram_hashes(data, TUPLE + HALF + 1)[marks[before] - HALF - 1] ^ U64(0x9E3779B97F4A7C15)])
+    owner = docs[np.concatenate([seg[after], seg[before]])]
+    low, high = np.concatenate([after_low[after], before_low[before]]), np.concatenate([after_high[after], before_high[before]])
+    order = np.lexsort((owner, h))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    group = np.flatnonzero(new)
+    several = owner[group] != owner[np.append(group[1:], len(h)) - 1] if len(h) else np.zeros(0, bool)
+    return low[order], high[order], np.cumsum(new) - 1, h[group] >> U64(64 - NAME_BITS - bits), several
+
+
+def _send_longer(bits: int) -> blocks.Sender:
+    def send(row: dict):
+        _, _, _, names, several = _longer(row, bits)
+        return [(r, blocks.pack_sorted(names[s]), blocks.pack_bits(several[s])) for r, s in blocks.split_ranges(names, bits, NAME_BITS + bits)]
+
+    return send
+
+
+def _narrow(bits: int):
+    """Of a row's segments, the windows whose longer tuples another document has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in blocks.rows_of(batches):
+            low, high, place, _, _ = _longer(row, bits)
+            kept = np.concatenate([blocks.unpack_bits(r) for r in blocks.in_order(row["replies"])])[place]
+            if not kept.any():
+                continue
+            sizes = np.array(row["sizes"], np.int64)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            seg, cuts, pieces = _windows(np.frombuffer(row["text"], np.uint8), offsets, low[kept], high[kept])
+            docs, starts = np.array(row["docs"], np.int64)[seg], np.array(row["starts"], np.int64)[seg] + cuts - offsets[seg]
+            yield _segment_batch(row, docs, starts, pieces, np.zeros(0, np.int64))
 
     return run
 
@@ -151,7 +215,6 @@ def _prefixes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     the windows in the order of their prefixes; windows are in the order of the segments' bytes."""
     data, sizes = np.frombuffer(row["text"], np.uint8), np.array(row["sizes"], np.int64)
     ids = np.array(row["ids"], np.int64)[np.array(row["docs"], np.int64)]
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
     segment = np.repeat(np.arange(len(sizes)), sizes - LENGTH + 1)
     at = np.arange(len(segment)) + segment * (LENGTH - 1)
     h = blocks.gram_hashes(data, LENGTH)[at]
@@ -161,14 +224,26 @@ def _prefixes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
     first = np.flatnonzero(new)
-    del offsets
     return order, np.cumsum(new) - 1, h[first], np.minimum.reduceat(owner, first), owner, segment
 
 
+def _pack_ids(ids: np.ndarray, which: np.ndarray) -> bytes:
+    """``ids[which]`` of ascending ``ids``, of which a chunk has far fewer than it has prefixes."""
+    used, which = np.unique(which, return_inverse=True)
+    table = blocks.pack_sorted(ids[used].astype(U64))
+    return len(table).to_bytes(8, "little") + table + blocks.pack_values(which.astype(U64))
+
+
+def _unpack_ids(blob: bytes) -> np.ndarray:
+    size = 8 + int.from_bytes(blob[:8], "little")
+    return blocks.unpack_sorted(blob[8:size]).astype(np.int64)[blocks.unpack_values(blob[size:]).astype(np.int64)]
+
+
 def _send_prefixes(bits: int) -> blocks.Sender:
     def send(row: dict):
         _, _, prefixes, smallest, _, _ = _prefixes(row)
-        return [(r, blocks.pack_sorted(prefixes[s]), blocks.pack_values(smallest[s].astype(U64))) for r, s in blocks.split_ranges(prefixes, bits)]
+        ids, which = np.unique(smallest, return_inverse=True)
+        return [(r, blocks.pack_sorted(prefixes[s]), _pack_ids(ids, which[s])) for r, s in blocks.split_ranges(prefixes, bits)]
 
     return send
 
@@ -176,7 +251,7 @@ def _send_prefixes(bits: int) -> blocks.Sender:
 def _merge_prefixes(keys: list[bytes], data: list[bytes | None]) -> list[bytes]:
     """For each prefix of each chunk: does a document smaller than all of the chunk's have it?"""
     prefixes = [blocks.unpack_sorted(k) for k in keys]
-    smallest = [blocks.unpack_values(d).astype(np.int64) for d in data]
+    smallest = [_unpack_ids(d) for d in data]
     every, ids = np.concatenate(prefixes), np.concatenate(smallest)
     order = np.argsort(every, kind="stable")
     new = np.ones(len(every), bool)
@@ -258,12 +333,23 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False)
     chosen = firsts.select(F.col("first").alias("__id"), F.col("digest").alias("__digest"))
     alone = rows.withColumn("__order", order).join(chosen.hint("merge"), (F.col("__order") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_semi")
     chunks = blocks.write_chunks(ws, alone.select("doc_id", "text"))
+    del alone
+    ws.release()
     bits = blocks.range_bits(chunks)
     names = ws.save(blocks.exchange(chunks, _send_names(bits), _merge_names), "names")
     segments = ws.save(chunks.join(names, "chunk_id").mapInArrow(_segments(bits), SEGMENTS), "segments")
+    del names
+    ws.release()
+    longer = ws.save(blocks.exchange(segments, _send_longer(bits), _merge_names), "longer")
+    segments = ws.save(segments.join(longer, "chunk_id").mapInArrow(_narrow(bits), SEGMENTS), "narrow")
+    del longer
+    ws.drop("names", "segments", "longer")
+    ws.release()
     prefixes = ws.save(blocks.exchange(segments, _send_prefixes(bits), _merge_prefixes), "prefixes")
     spans = ws.save(segments.join(prefixes, "chunk_id").mapInArrow(_spans, SPANS), "spans")
-    ws.drop("names", "segments", "prefixes")
+    del segments, prefixes
+    ws.drop("narrow", "prefixes")
+    ws.release()
     cut = ws.save(chunks.join(spans, "chunk_id").mapInArrow(_kept(with_text), KEPT), "cut")
     ws.drop("chunks", "spans")
     # Rows that repeat a text chunked under one id: the id's own row stands for it; copies under larger ids go whole.
