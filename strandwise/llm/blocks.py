@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandwise.llm.workers import lean
 from strandwise.llm.workspace import Workspace
 
 CHUNK_BYTES = 2 << 20
@@ -64,12 +65,13 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     had = _POWERS.get(base)
     if had is None or len(had) < n:
-        had = np.ones(1 << max(16, n.bit_length()), U64)
+        had = np.ones((n | 0x3FFFF) + 1, U64)
         size = 1
         while size < len(had):
-            had[size : 2 * size] = had[:size] * U64(pow(base, size, 1 << 64))
+            more = min(size, len(had) - size)
+            had[size : size + more] = had[:more] * U64(pow(base, size, 1 << 64))
             size *= 2
-        if len(had) <= 4 * CHUNK_BYTES:
+        if len(had) <= 2 * CHUNK_BYTES:
             _POWERS[base] = had
     return had[:n]
 
@@ -193,7 +195,7 @@ def write_chunks(ws: Workspace, docs: DataFrame, name: str = "chunks", size: int
     Only once written are chunks fixed: read them from the table returned, never from the plan.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return ws.save(rows.mapInArrow(_chunked(size), CHUNK), name)
+    return ws.save(rows.mapInArrow(lean(_chunked(size)), CHUNK), name)
 
 
 def range_bits(chunks: DataFrame) -> int:
@@ -240,7 +242,7 @@ def exchange(table: DataFrame, send: Sender, merge: Merger) -> DataFrame:
     def merger(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"chunk_id": rows.chunk_id, "range": rows["range"], "reply": merge(list(rows["keys"]), list(rows["data"]))})
 
-    got = table.mapInArrow(sender, SENT).groupBy("range").applyInPandas(merger, "chunk_id long, range int, reply binary")
+    got = table.mapInArrow(lean(sender), SENT).groupBy("range").applyInPandas(merger, "chunk_id long, range int, reply binary")
     return got.groupBy("chunk_id").agg(F.collect_list(F.struct("range", "reply")).alias("replies"))
 
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.llm.workers import lean
+
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
 ROWS_PER_LANGUAGE = 5000
@@ -121,7 +123,7 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> tupl
         return [], np.zeros((0, FEATURES), np.float32), np.zeros(0)
     share = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
     picked = F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit(""))), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30)
-    parts = known.filter(picked).select("text", "lang").repartition(12).mapInArrow(_count_batches, "lang string, counts binary, rows long").collect()
+    parts = known.filter(picked).select("text", "lang").repartition(12).mapInArrow(lean(_count_batches), "lang string, counts binary, rows long").collect()
     langs = sorted({p["lang"] for p in parts})
     if not langs:
         return [], np.zeros((0, FEATURES), np.float32), np.zeros(0)
@@ -156,7 +158,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(*keep) if text == "text" else docs.select(*keep, F.col("text").alias("__text"))
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), f"{fields}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):

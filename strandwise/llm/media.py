@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.llm.workers import lean
 from strandwise.llm.workspace import Workspace
 
 UNIT = 192
@@ -147,7 +148,7 @@ def _store(root: str):
 def store(docs: DataFrame, root: str, id_col: str = "doc_id", payload_col: str = "text") -> DataFrame:
     """Write the payloads under ``root``; returns the manifest, to be saved before it is read twice."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(payload_col).cast("binary").alias("payload"))
-    return rows.mapInArrow(_store(root), MANIFEST)
+    return rows.mapInArrow(lean(_store(root)), MANIFEST)
 
 
 class RangeReader:
@@ -206,12 +207,12 @@ def _schema(extra: tuple) -> str:
 
 def read_metadata(found: DataFrame) -> DataFrame:
     """Locators with width, height, bits and channels, reading headers only."""
-    return found.mapInArrow(_mapped((_head,), _METADATA, LOCATOR), _schema(_METADATA))
+    return found.mapInArrow(lean(_mapped((_head,), _METADATA, LOCATOR)), _schema(_METADATA))
 
 
 def read_media(found: DataFrame) -> DataFrame:
     """Locators with the metadata of the headers, and with what the payloads read back have."""
-    return found.mapInArrow(_mapped((_head, _features), _METADATA + _CONTENT, LOCATOR), _schema(_METADATA + _CONTENT))
+    return found.mapInArrow(lean(_mapped((_head, _features), _METADATA + _CONTENT, LOCATOR)), _schema(_METADATA + _CONTENT))
 
 
 def media_columns(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", payload_col: str = "text") -> DataFrame:

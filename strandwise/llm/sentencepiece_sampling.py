@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm.blocks import U64, mix
+from strandwise.llm.workers import lean
 
 SAMPLES = 2
 OFFSET = 10.0
@@ -457,12 +458,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def sample_segmentations(docs: DataFrame, model: str | None = None, k: int = SAMPLES) -> DataFrame:
     """doc_id, sample, n_pieces, log_prob, log_inclusion, ids for up to ``k`` samples of each row of ``docs``."""
-    return _rows(docs).mapInArrow(_run(model or default_model(), k, False), SAMPLED)
+    return _rows(docs).mapInArrow(lean(_run(model or default_model(), k, False)), SAMPLED)
 
 
 def segmentation_digests(docs: DataFrame, model: str | None = None, k: int = SAMPLES) -> DataFrame:
     """The same with digests of the ids and of the text that they decode to in place of the ids."""
-    return _rows(docs).mapInArrow(_run(model or default_model(), k, True), DIGESTED)
+    return _rows(docs).mapInArrow(lean(_run(model or default_model(), k, True)), DIGESTED)
 
 
 def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from strandwise.llm import blocks
 from strandwise.llm.blocks import U64
+from strandwise.llm.workers import lean
 from strandwise.llm.workspace import Workspace
 
 LENGTH = 50
@@ -337,20 +338,20 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False)
     ws.release()
     bits = blocks.range_bits(chunks)
     names = ws.save(blocks.exchange(chunks, _send_names(bits), _merge_names), "names")
-    segments = ws.save(chunks.join(names, "chunk_id").mapInArrow(_segments(bits), SEGMENTS), "segments")
+    segments = ws.save(chunks.join(names, "chunk_id").mapInArrow(lean(_segments(bits)), SEGMENTS), "segments")
     del names
     ws.release()
     longer = ws.save(blocks.exchange(segments, _send_longer(bits), _merge_names), "longer")
-    segments = ws.save(segments.join(longer, "chunk_id").mapInArrow(_narrow(bits), SEGMENTS), "narrow")
+    segments = ws.save(segments.join(longer, "chunk_id").mapInArrow(lean(_narrow(bits)), SEGMENTS), "narrow")
     del longer
     ws.drop("names", "segments", "longer")
     ws.release()
     prefixes = ws.save(blocks.exchange(segments, _send_prefixes(bits), _merge_prefixes), "prefixes")
-    spans = ws.save(segments.join(prefixes, "chunk_id").mapInArrow(_spans, SPANS), "spans")
+    spans = ws.save(segments.join(prefixes, "chunk_id").mapInArrow(lean(_spans), SPANS), "spans")
     del segments, prefixes
     ws.drop("narrow", "prefixes")
     ws.release()
-    cut = ws.save(chunks.join(spans, "chunk_id").mapInArrow(_kept(with_text), KEPT), "cut")
+    cut = ws.save(chunks.join(spans, "chunk_id").mapInArrow(lean(_kept(with_text)), KEPT), "cut")
     ws.drop("chunks", "spans")
     # Rows that repeat a text chunked under one id: the id's own row stands for it; copies under larger ids go whole.
     cut = cut.withColumn("__order", order).withColumnRenamed("digest", "__digest").drop("doc_id").dropDuplicates(["__order", "__digest"])
