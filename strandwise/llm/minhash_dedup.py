@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from strandwise.llm import blocks
 from strandwise.llm.blocks import NULL_ID, U64
 from strandwise.llm.components import components
+from strandwise.llm.workers import lean
 from strandwise.llm.workspace import Workspace
 
 SHINGLE = 5
@@ -49,6 +50,8 @@ LEAST_ESTIMATE = 0.48
 HUB_ESTIMATE = 0.7
 SIMILAR, OF = 75, 100
 SLICE = 256
+#: Pairs of rows that are compared at once; a pair takes about 100 bytes.
+CELLS = 1 << 18
 
 _rng = np.random.Generator(np.random.Philox(20))
 MULTIPLIERS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
@@ -154,7 +157,7 @@ def _tile_best(sketch: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray],
     """(row, row, estimate, degree): each row's best partner and its hub, of other components."""
     m = len(sketch)
     degree, best, value = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m)
-    step = max(1, (1 << 20) // m)
+    step = max(1, CELLS // m)
     for s in range(0, m, step):
         e = estimates(sketch[s : s + step, None], sketch[None])
         e[label[s : s + step, None] == label[None]] = -1
@@ -171,7 +174,7 @@ def _tile_all(sketch: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray],
     """Every pair of two components that may be a link."""
     a, b, v = [], [], []
     m = len(sketch)
-    step = max(1, (1 << 20) // m)
+    step = max(1, CELLS // m)
     for s in range(0, m, step):
         e = estimates(sketch[s : s + step, None], sketch[None])
         e[label[s : s + step, None] == label[None]] = -1
@@ -200,7 +203,7 @@ def _tile_forest(sketch: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray
     """A spanning forest of the pairs that may be links: each row with the first of its component."""
     m = len(sketch)
     root = np.arange(m)
-    step = max(1, (1 << 20) // m)
+    step = max(1, CELLS // m)
     for s in range(0, m, step):
         i, j = np.nonzero(estimates(sketch[s : s + step, None], sketch[None]) >= LEAST_ESTIMATE)
         root = root[local_components(m, root[i + s], root[j])][root]
@@ -269,10 +272,10 @@ def candidates(nodes: DataFrame, mode: str, tile: int = TILE) -> DataFrame:
 
     ``mode``: ``forest`` for spanning forests, ``best`` for each row's best partner and hub, ``all`` for every pair.
     """
-    rows = nodes.select("cls", "label", "sig").mapInArrow(_grow, BRANCHES)
+    rows = nodes.select("cls", "label", "sig").mapInArrow(lean(_grow), BRANCHES)
     # By range, so that a region that is most of a tree still spreads over tasks.
     dealt = rows.repartitionByRange("key", "rest").sortWithinPartitions("key", "rest", "cls")
-    return dealt.mapInArrow(_scan(mode, tile), PAIRS).groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.max("degree").alias("degree"))
+    return dealt.mapInArrow(lean(_scan(mode, tile)), PAIRS).groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.max("degree").alias("degree"))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +299,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, link): which ``pairs`` are links by the full sets of ``texts`` (cls, text)."""
     first = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, link boolean")
+    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(_confirm), "a long, b long, link boolean")
 
 
 def chosen(pairs: DataFrame) -> DataFrame:
@@ -388,7 +391,7 @@ def near_components(spark: SparkSession, docs: DataFrame, tile: int = TILE, fami
     """doc_id, text_key, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text)."""
     ws = Workspace(spark, "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").cast("binary").alias("text"))
-    signed = ws.save(rows.mapInArrow(_sign, SIGNED), "signed")
+    signed = ws.save(rows.mapInArrow(lean(_sign), SIGNED), "signed")
     order = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
     classes = signed.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(order.alias("least"), "text_key", "sig")).alias("r"))
     nodes = ws.save(classes.select("cls", "r.least", "r.text_key", "r.sig"), "nodes")
@@ -404,7 +407,7 @@ def near_components(spark: SparkSession, docs: DataFrame, tile: int = TILE, fami
     ws.release()
     large = members.groupBy("family").agg(F.count("*").alias("n")).filter(F.col("n") > family).select("family").persist()
     small = texts.join(large, "family", "left_anti").repartition("family").sortWithinPartitions("family", "cls")
-    links = ws.save(small.mapInArrow(_settle, "u long, v long"), "links")
+    links = ws.save(small.mapInArrow(lean(_settle), "u long, v long"), "links")
     if large.count():
         own = some.join(large, "family", "left_semi")
         links = links.unionByName(_pair_links(ws, own, texts.join(large, "family", "left_semi"), tile))

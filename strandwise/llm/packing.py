@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.llm.workers import lean
 from strandwise.llm.workspace import Workspace
 
 LIMIT = 4096
 END_ID = 1
 GROUP_PIECES = 40_000
 WORDS_HELD = 1_500_000
+WORDS_KEPT = 700_000
 NEARLY_FULL = 8
 
 
@@ -156,13 +158,16 @@ def _pieces(path: str, limit: int, end_id: int):
                         rows.append((doc, k, s, len(own), zlib.crc32(own.tobytes())))
                 cols = list(zip(*rows, strict=True))
                 yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        # The worker lives on, for this operator's next task or for others that need its memory.
+        if len(encoder.known) > WORDS_KEPT:
+            encoder.reset()
 
     return run
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(_pieces(vocabulary, limit, end_id), PIECES)
+    return rows.mapInArrow(lean(_pieces(vocabulary, limit, end_id)), PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
