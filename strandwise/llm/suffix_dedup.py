@@ -329,7 +329,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("digest", _digest("text"))
     order = F.coalesce(F.col("doc_id"), F.lit(blocks.NULL_ID))
     keys = ws.save(rows.select("doc_id", "digest", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")), "keys")
-    firsts = keys.filter(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min(order).alias("first"))
+    # Written, so that joins on a digest that many rows have read both sides from shuffles and can be split.
+    firsts = ws.save(keys.filter(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min(order).alias("first")), "firsts")
     # One row of each text that is long enough to share anything.
     chosen = firsts.select(F.col("first").alias("__id"), F.col("digest").alias("__digest"))
     alone = rows.withColumn("__order", order).join(chosen.hint("merge"), (F.col("__order") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_semi")
@@ -355,7 +356,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False)
     ws.drop("chunks", "spans")
     # Rows that repeat a text chunked under one id: the id's own row stands for it; copies under larger ids go whole.
     cut = cut.withColumn("__order", order).withColumnRenamed("digest", "__digest").drop("doc_id").dropDuplicates(["__order", "__digest"])
-    out = keys.withColumn("o", order).join(firsts, "digest", "left").join(cut, (F.col("o") == F.col("__order")) & (F.col("digest") == F.col("__digest")), "left")
+    out = keys.withColumn("o", order).join(firsts.hint("merge"), "digest", "left").join(cut, (F.col("o") == F.col("__order")) & (F.col("digest") == F.col("__digest")), "left")
     copy = F.col("first").isNotNull() & (F.col("o") > F.col("first"))
     empty = hashlib.sha256(b"").hexdigest()
     return out.select(
