@@ -136,8 +136,9 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> tupl
     return langs, table, np.log(weight / weight.sum())
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` (text) with lang_pred and score, the posterior probability of lang_pred."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str], into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of ``docs`` (text) with the predicted language and its posterior probability, in columns
+    named by ``into``."""
     langs, table, prior = model
     text = "text" if "text" in keep else "__text"
     shared = docs.sparkSession.sparkContext.broadcast((langs, table, prior))
@@ -154,11 +155,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
                 top = j.argmax(axis=1) if len(j) else np.zeros(0, int)
                 pred[seen] = np.array(names, dtype=object)[top]
                 best[seen] = 1.0 / np.exp(j - j.max(axis=1, keepdims=True)).sum(axis=1) if len(j) else []
-            yield pa.record_batch([*[b.column(c) for c in keep], pa.array(pred.tolist(), pa.string()), pa.array(best)], names=[*keep, "lang_pred", "score"])
+            yield pa.record_batch([*[b.column(c) for c in keep], pa.array(pred.tolist(), pa.string()), pa.array(best)], names=[*keep, *into])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(*keep) if text == "text" else docs.select(*keep, F.col("text").alias("__text"))
-    return rows.mapInArrow(lean(run), f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), f"{fields}, `{into[0]}` string, `{into[1]}` double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -175,8 +176,8 @@ def language_id(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) ->
 def accepted(docs: DataFrame, least_score: float = 0.5, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, ...) whose language is known with at least ``least_score``."""
     model = fit(docs.filter(~held_out()).select(F.col("doc_id").alias("key"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), rows_per_language)
-    rows = predict(docs, model, docs.columns)
-    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*docs.columns)
+    rows = predict(docs, model, docs.columns, ("__lang", "__score"))
+    return rows.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score)).select(*docs.columns)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

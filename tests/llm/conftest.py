@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, kept boolean, cls long, family int, pos int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, kept boolean, cls long, family int, pos int, score double, lang_pred string, first long, size long"
 
 
 @pytest.fixture(scope="session")
@@ -30,7 +30,7 @@ def odd_docs(spark):
         (12, "THE QUICK brown fox jumps over the lazy dog near the river bank tonight", "en"),
         (-5, "\\[x] </s> ▁ a\x00b", "en"),
     ]
-    return spark.createDataFrame([(i, t, g, "s", len(t or ""), "d", False, 1, 2, 3) for i, t, g in rows], DOCS).repartition(3)
+    return spark.createDataFrame([(i, t, g, "s", len(t or ""), "d", False, 1, 2, 3, 0.5, "p", 4, 5) for i, t, g in rows], DOCS).repartition(3)
 
 
 @pytest.fixture(scope="session")
