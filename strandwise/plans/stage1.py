@@ -53,7 +53,6 @@ class Stage1:
 
 
 def _run(ws: Workspace, name: str, tasks: DataFrame, found: DataFrame, graph: Graph, relation: Scorer, reranker: Scorer, settings: Settings) -> Pass:
-    tasks, found = ws.save(tasks, f"{name}_tasks"), ws.save(found, f"{name}_anchors")
     best, rerank, states = retrieve(tasks, found, graph.triples, relation, reranker, settings)
     best = ws.save(best, f"{name}_best")
     selected = ws.save(rerank(best), f"{name}_selected")
@@ -107,6 +106,7 @@ def run(items: DataFrame, constraints: DataFrame, graph: Graph, settings: Settin
     support1 = settled.join(under, KEY, "left_anti").select("qid", "qi", "triple_id", F.col("sel").alias("place")).unionByName(filtered.select("qid", "qi", "triple_id", F.col("sel").alias("place")))
 
     tasks2, anchors2 = second_tasks(typed, bound, graph, settings)
+    tasks2, anchors2 = ws.save(tasks2, "second_tasks"), ws.save(anchors2, "second_anchors")
     second = _run(ws, "second", tasks2, anchors2, graph, relation, reranker, settings)
     one_side = second.tasks.filter("head_id is null or tail_id is null").select(*KEY)
     sets2 = induced_by(second).join(one_side, KEY, "left_semi")
