@@ -29,8 +29,9 @@ def _squeeze(x: str) -> str:
 
 
 def _answer(x: str) -> str:
+    # Articles go as tokens: the word boundaries of regular expressions are ASCII here.
     bare = f"regexp_replace(lower(coalesce({x}, '')), '{_PUNCTUATION}', '', 'g')"
-    return _squeeze(f"regexp_replace({bare}, '\\b(a|an|the)\\b', ' ', 'g')")
+    return f"array_to_string(list_filter(regexp_split_to_array({bare}, '\\s+'), lambda w: w not in ('', 'a', 'an', 'the')), ' ')"
 
 
 def _plain(x: str) -> str:

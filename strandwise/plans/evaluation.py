@@ -42,7 +42,7 @@ def answer(items: DataFrame, make_client: Callable[[], Client], settings: Settin
 
 def score_answers(answers: DataFrame) -> DataFrame:
     """``answers(qid, model_answer, ground_truth_answer)`` with em and f1."""
-    return answers.withColumn("em", metrics.exact_match(F.col("model_answer"), F.col("ground_truth_answer"))).withColumn("f1", metrics.token_f1(F.col("model_answer"), F.col("ground_truth_answer")))
+    return metrics.with_scores(answers, "model_answer", "ground_truth_answer")
 
 
 def evaluate(items: DataFrame, answers: DataFrame, evidences: DataFrame, texts: DataFrame, gold: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:

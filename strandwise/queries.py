@@ -217,7 +217,7 @@ def em_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = star.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     w = Window.partitionBy("conv_id").orderBy("turn")
     pairs = rows.withColumn("next_role", F.lead("role").over(w)).withColumn("gold", F.lead("text").over(w)).filter("role = 'user' and next_role = 'assistant'")
-    return pairs.select("conv_id", "turn", metrics.exact_match(F.col("text"), F.col("gold")).alias("em"), F.round(metrics.token_f1(F.col("text"), F.col("gold")), 6).alias("f1"))
+    return metrics.with_scores(pairs, "text", "gold").select("conv_id", "turn", "em", F.round("f1", 6).alias("f1"))
 
 
 def answer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +231,8 @@ def json_alias_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.to_json(F.struct(F.concat(F.lit("user"), F.col("user_id")).alias("h"), F.col("event_type").alias("predicate"), F.concat(F.lit("item"), props["k"]).alias("object")))
     rows = star.table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), line.alias("line"))
     own = F.from_json("line", "struct<head: string, h: string, subject: string, relation: string, r: string, predicate: string, tail: string, t: string, object: string>")
-    parts = rows.select("pos", *[X.first_text(*[own[c] for c in names]).alias(p) for p, names in (("head", ("head", "h", "subject")), ("relation", ("relation", "r", "predicate")), ("tail", ("tail", "t", "object")))]).filter("head is not null and relation is not null and tail is not null")
+    parsed = rows.select("pos", own.alias("o"))
+    parts = parsed.select("pos", *[X.first_text(*[F.col(f"o.{c}") for c in names]).alias(p) for p, names in (("head", ("head", "h", "subject")), ("relation", ("relation", "r", "predicate")), ("tail", ("tail", "t", "object")))]).filter("head is not null and relation is not null and tail is not null")
     ends = parts.select("pos", F.posexplode(F.array("head", "tail")).alias("side", "name")).groupBy("name").agg(F.min(F.struct("pos", "side")).alias("at")).select("name", "at.pos", "at.side")
     ids = dense_ids(ends, ["pos", "side"], "id").select("name", "id")
     return parts.join(ids.select(F.col("name").alias("head"), F.col("id").alias("head_id")), "head").join(ids.select(F.col("name").alias("tail"), F.col("id").alias("tail_id")), "tail").select("pos", "head_id", "relation", "tail_id")
