@@ -339,15 +339,18 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False)
     ws.release()
     bits = blocks.range_bits(chunks)
     names = ws.save(blocks.exchange(chunks, _send_names(bits), _merge_names), "names")
+    ws.release()
     segments = ws.save(chunks.join(names, "chunk_id").mapInArrow(lean(_segments(bits)), SEGMENTS), "segments")
     del names
     ws.release()
     longer = ws.save(blocks.exchange(segments, _send_longer(bits), _merge_names), "longer")
+    ws.release()
     segments = ws.save(segments.join(longer, "chunk_id").mapInArrow(lean(_narrow(bits)), SEGMENTS), "narrow")
     del longer
     ws.drop("names", "segments", "longer")
     ws.release()
     prefixes = ws.save(blocks.exchange(segments, _send_prefixes(bits), _merge_prefixes), "prefixes")
+    ws.release()
     spans = ws.save(segments.join(prefixes, "chunk_id").mapInArrow(lean(_spans), SPANS), "spans")
     del segments, prefixes
     ws.drop("narrow", "prefixes")
