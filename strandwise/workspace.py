@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,7 +53,13 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        # What is written is read from now on, so the shuffles behind it go as soon as the write is done.
+        before = self.spark.conf.get(CLEANUP_KEY, "false")
+        self.spark.conf.set(CLEANUP_KEY, "true")
+        try:
+            df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP_KEY, before)
         self.saved.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
