@@ -2,7 +2,8 @@
 
 The log holds ``(conv_id, position, seq, kind, role, text)``; ``position`` names the message.
 Kinds: ``open`` sets the role, ``delta`` appends, ``edit`` replaces the text so far, ``regenerate``
-drops the text so far (its new text follows as deltas).  Rows are dealt by conversation, sorted by
+drops the text so far (its new text follows as deltas); events of other kinds, or of none, change
+nothing.  Rows are dealt by conversation, sorted by
 position and seq, and folded in one pass that holds one message at a time, so a conversation that
 has a third of all rows needs no more memory than another.
 
@@ -73,8 +74,6 @@ def fold(events: Iterator[tuple[str, str | None, str]]) -> tuple[str, str]:
             parts = []
         elif kind == "delta":
             parts.append(text)
-        else:
-            raise ValueError(f"unknown event {kind!r}")
     return role, "".join(parts)
 
 

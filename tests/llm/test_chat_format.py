@@ -39,6 +39,12 @@ def test_deltas_edits_and_regenerations(spark):
     assert [r.formatted[r.text_start : r.text_end] for r in got] == ["hello", "right", "newer"]
 
 
+def test_nulls_in_the_log(spark):
+    rows = [(1, 0, 0, "open", "user", None), (1, 0, 1, None, None, "x"), (1, 0, 2, "typing", None, "y"), (1, 0, 3, "delta", None, None), (1, 0, 4, "delta", None, "ok"), (None, None, None, "delta", None, "z"), (2, 0, 0, None, None, None)]
+    got = {(r.conv_id, r.formatted) for r in C.format_chats(log(spark, rows)).collect()}
+    assert got == {(1, "[INST] ok [/INST]\n"), (None, "[ROLE |] z [/ROLE]\n"), (2, "[ROLE |]  [/ROLE]\n")}
+
+
 def turns(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position int, seq string")
 
