@@ -87,9 +87,9 @@ def to_events(turns: DataFrame, step: int = 256) -> DataFrame:
         lambda i: F.struct((i + 1).alias("seq"), F.lit("delta").alias("kind"), F.substring(F.col("text"), i * step + 1, F.lit(step)).alias("text")),
     )
     opened = F.array(F.struct(F.lit(0).alias("seq"), F.lit("open").alias("kind"), F.lit("").alias("text")))
-    # Turns that repeat a position stay messages of their own.
-    copy = F.xxhash64("role", "text")
-    return row.withColumn("copy", copy).select("conv_id", "position", "copy", "role", F.inline(F.concat(opened, pieces)))
+    # Turns that repeat a position stay messages of their own, identical rows too, which only the row number tells apart.
+    numbered = row.withColumn("copy", F.xxhash64("role", "text")).withColumn("row", F.monotonically_increasing_id())
+    return numbered.select("conv_id", "position", "copy", "row", "role", F.inline(F.concat(opened, pieces)))
 
 
 class _Conversation:
@@ -119,8 +119,8 @@ def _messages(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, str, st
     key, held = None, []
     for rows in batches:
         conv = rows.conv_id.astype(object).where(rows.conv_id.notna(), None)
-        for c, p, k, kind, role, text in zip(conv, rows.position.fillna(-1), rows["copy"].fillna(0), rows.kind, rows.role, rows.text, strict=True):
-            now = (c, p, k)
+        for c, p, k, n, kind, role, text in zip(conv, rows.position.fillna(-1), rows["copy"].fillna(0), rows["row"].fillna(0), rows.kind, rows.role, rows.text, strict=True):
+            now = (c, p, k, n)
             if held and now != key:
                 yield key[0], *fold(iter(held))
                 held = []
@@ -169,9 +169,10 @@ def _formatted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sorted(events: DataFrame) -> DataFrame:
-    if "copy" not in events.columns:
-        events = events.withColumn("copy", F.lit(0).cast("long"))
-    return events.select("conv_id", "position", "copy", "seq", "kind", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "position", "copy", "seq", "kind", "text")
+    for c in ("copy", "row"):
+        if c not in events.columns:
+            events = events.withColumn(c, F.lit(0).cast("long"))
+    return events.select("conv_id", "position", "copy", "row", "seq", "kind", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "position", "copy", "row", "seq", "kind", "text")
 
 
 def format_chats(events: DataFrame) -> DataFrame:

@@ -65,3 +65,13 @@ def test_empty_and_repeated_rows(spark):
     assert C.chat_digests(C.to_events(turns(spark, []))).collect() == []
     twice = C.chat_digests(C.to_events(turns(spark, [(1, 0, "user", "a", 0, ""), (1, 0, "user", "b", 0, "")]))).collect()
     assert twice[0].n_turns == 2
+
+
+def test_identical_rows_stay_messages_of_their_own(spark):
+    rows = [(1, 0, "user", "a", 0, ""), (1, 0, "user", "a", 0, ""), (1, 1, "assistant", "b" * 300, 0, ""), (1, 1, "assistant", "b" * 300, 0, "")]
+    got = C.chat_digests(C.to_events(turns(spark, rows).repartition(3))).collect()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert len(got) == 1
+    assert (got[0].n_turns, got[0].loss_chars) == (4, 600)
+    assert got[0].turns_sha256 == sha("user\na\n" * 2 + f"assistant\n{'b' * 300}\n" * 2)
+    assert got[0].loss_sha256 == sha("b" * 600)
