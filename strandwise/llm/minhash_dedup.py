@@ -11,9 +11,10 @@ No region emits all its pairs.  A tile joins the rows whose sketches may be link
 forest of them; the forests' connected components are families, outside of which nothing can be
 linked.  A family of up to ``FAMILY`` classes is settled on the full sets by one task, which walks an
 inverted index from class to class and drops what is reached, so its copies are never paired with each
-other.  A larger family takes two rounds of pairs: first each class with its most similar partner and
-its hub (the row of a tile with most similar rows), confirmed on the full sets; then every pair that
-may be a link and still lies in two components.
+other.  A larger family takes two rounds: first each class with its most similar partner and its hub (the row
+of a tile with most similar rows), confirmed on the full sets; then blocks of ``BLOCK`` classes, each
+pair of which is compared whole on the full sets, so that no link of a family depends on tiles.  Blocks
+of one component aren't compared with each other; all else is quadratic in the family.
 
 A pair at similarity 0.75 shares a region of some tree but for 2.4e-8 of the cases, and passes the
 sketch but for about 1e-6.  There is no cap on partners.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandwise.llm import blocks
@@ -45,6 +46,10 @@ HASHES = TREES * LEVELS
 SKETCH_WORDS = HASHES // 32
 TILE = 8192
 FAMILY = 8192
+#: Rows of a family's block, pairs of which are compared whole.
+BLOCK = 4096
+HOT_ROWS = 32
+HOT_COLUMNS = 1024
 #: Sketches estimate 0.75 with a standard error of 0.053; pairs below this estimate aren't confirmed.
 LEAST_ESTIMATE = 0.48
 HUB_ESTIMATE = 0.7
@@ -170,22 +175,6 @@ def _tile_best(sketch: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray],
     return [rows[fit], rows[near]], [best[fit], np.full(int(near.sum()), hub)], [value[fit], to_hub[near]], [np.zeros(int(fit.sum()), np.int64), np.full(int(near.sum()), degree[hub])]
 
 
-def _tile_all(sketch: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Every pair of two components that may be a link."""
-    a, b, v = [], [], []
-    m = len(sketch)
-    step = max(1, CELLS // m)
-    for s in range(0, m, step):
-        e = estimates(sketch[s : s + step, None], sketch[None])
-        e[label[s : s + step, None] == label[None]] = -1
-        i, j = np.nonzero(e >= LEAST_ESTIMATE)
-        up = i + s < j
-        a.append(i[up] + s)
-        b.append(j[up])
-        v.append(e[i[up], j[up]])
-    return a, b, v, [np.zeros(len(x), np.int64) for x in a]
-
-
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member of each of n rows' components over the edges (a, b)."""
     root = np.arange(n)
@@ -212,7 +201,7 @@ def _tile_forest(sketch: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray
     return [rows], [root[rows]], [np.zeros(len(rows))], [np.zeros(len(rows), np.int64)]
 
 
-_COMPARE = {"forest": _tile_forest, "best": _tile_best, "all": _tile_all}
+_COMPARE = {"forest": _tile_forest, "best": _tile_best}
 
 
 def _scan(mode: str, tile: int):
@@ -270,7 +259,7 @@ def _scan(mode: str, tile: int):
 def candidates(nodes: DataFrame, mode: str, tile: int = TILE) -> DataFrame:
     """Distinct pairs (a, b, estimate, degree) of ``nodes`` (cls, label, sig) of different labels.
 
-    ``mode``: ``forest`` for spanning forests, ``best`` for each row's best partner and hub, ``all`` for every pair.
+    ``mode``: ``forest`` for spanning forests, ``best`` for each row's best partner and hub.
     """
     rows = nodes.select("cls", "label", "sig").mapInArrow(lean(_grow), BRANCHES)
     # By range, so that a region that is most of a tree still spreads over tasks.
@@ -375,19 +364,115 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settled(family, cls, texts)
 
 
-def _pair_links(ws: Workspace, nodes: DataFrame, texts: DataFrame, tile: int) -> DataFrame:
+def block_links(left: list[np.ndarray], right: list[np.ndarray], left_label: np.ndarray, right_label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, row) of a spanning forest of the exact links between two blocks of sets whose labels differ.
+
+    Rows count left first, then right.  Shingles that many rows share are counted by products of
+    matrices of ``HOT_COLUMNS`` of them, all others by their postings.
+    """
+    m, n = len(left), len(right)
+    size_l, size_r = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
+    _, token = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    a, b = token[: size_l.sum()], token[size_l.sum() :]
+    row_a, row_b = np.repeat(np.arange(m), size_l), np.repeat(np.arange(n), size_r)
+    count_a, count_b = (np.bincount(x, minlength=token.max() + 1) for x in (a, b))
+    hot = (count_a >= HOT_ROWS) & (count_b >= HOT_ROWS)
+    rare = (count_a > 0) & (count_b > 0) & ~hot
+    common = np.zeros((m, n), np.float32)
+    column = np.cumsum(hot) - 1
+    for c in range(0, int(hot.sum()), HOT_COLUMNS):
+        x, y = (np.zeros((k, HOT_COLUMNS), np.float32) for k in (m, n))
+        for into, t, row in ((x, a, row_a), (y, b, row_b)):
+            own = hot[t] & (column[t] >= c) & (column[t] < c + HOT_COLUMNS)
+            into[row[own], column[t[own]] - c] = 1
+        common += x @ y.T
+    # Postings of the right rows by shingle; each rare shingle of a left row meets all of its postings.
+    own = rare[b]
+    order = np.argsort(b[own], kind="stable")
+    posting = row_b[own][order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(b[own], minlength=len(hot)))])
+    a, row_a = a[rare[a]], row_a[rare[a]]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(row_a, minlength=m))])
+    step = max(1, CELLS // n)
+    root = np.arange(m + n)
+    for s in range(0, m, step):
+        e = min(m, s + step)
+        t, r = a[begin[s] : begin[e]], row_a[begin[s] : begin[e]] - s
+        lo, k = first[t], first[t + 1] - first[t]
+        at = np.arange(int(k.sum())) + np.repeat(lo - np.cumsum(k) + k, k)
+        both = common[s:e].astype(np.int64) + np.bincount(np.repeat(r, k) * n + posting[at], minlength=(e - s) * n).reshape(e - s, n)
+        i, j = np.nonzero((OF * both >= SIMILAR * (size_l[s:e, None] + size_r[None] - both)) & (left_label[s:e, None] != right_label[None]))
+        root = root[local_components(m + n, root[i + s], root[j + m])][root]
+        root = root[root]
+    rows = np.flatnonzero(root != np.arange(m + n))
+    return rows, root[rows]
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): spanning forests of the links of rows (family, low, high, block, cls, label, text) sorted by pair of blocks."""
+
+    def crossed(held: list[tuple]) -> pa.RecordBatch | None:
+        low, high = held[0][1], held[0][2]
+        d, h = shingle_sets([r[6] or b"" for r in held])
+        edges = np.searchsorted(d, np.arange(len(held) + 1))
+        block, cls, label = (np.array([r[k] for r in held], np.int64) for k in (3, 4, 5))
+        x = np.flatnonzero(block == low)
+        y = np.flatnonzero(block == high)
+        if not len(x) or not len(y) or (label == label[0]).all():
+            return None
+        sets = lambda rows: [h[edges[k] : edges[k + 1]] for k in rows]
+        u, v = block_links(sets(x), sets(y), label[x], label[y])
+        own = np.concatenate([cls[x], cls[y]])
+        u, v = own[u], own[v]
+        return pa.record_batch([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
+
+    held: list[tuple] = []
+    for b in batches:
+        for r in zip(*[b.column(c).to_pylist() for c in ("family", "low", "high", "block", "cls", "label", "text")], strict=True):
+            if held and r[:3] != held[0][:3]:
+                if got := crossed(held):
+                    yield got
+                held = []
+            held.append(r)
+    if held and (got := crossed(held)):
+        yield got
+
+
+def cross_links(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(u, v) that join all links of ``labelled`` (family, cls, label, text) between rows of a family that differ in label.
+
+    A family is dealt into blocks of about ``block`` rows, and each pair of blocks is compared whole on
+    the full sets.  Labels of more rows have blocks of their own, which aren't compared with each other.
+    """
+    sizes = labelled.groupBy("family", "label").agg(F.count("*").alias("n"))
+    pooled = sizes.withColumn("own", F.col("n") > block).withColumn("pool", F.when(F.col("own"), F.col("label")))
+    pools = pooled.groupBy("family", "pool").agg(F.sum("n").alias("n"), F.count("*").alias("labels")).withColumn("blocks", F.ceil(F.col("n") / block))
+    by_pool = Window.partitionBy("family").orderBy(F.col("pool").asc_nulls_first())
+    placed = pools.withColumn("first", F.sum("blocks").over(by_pool) - F.col("blocks")).withColumn("total", F.sum("blocks").over(Window.partitionBy("family")))
+    # Families of one label have all their links.
+    placed = placed.withColumn("whole", F.sum("labels").over(Window.partitionBy("family"))).filter("whole > 1")
+    places = pooled.select("family", "label", "pool").join(placed.select("family", F.col("pool").alias("p"), "blocks", "first", "total").withColumnRenamed("family", "f"), (F.col("family") == F.col("f")) & F.col("pool").eqNullSafe(F.col("p")))
+    rows = labelled.join(places.select("family", "label", "pool", "blocks", "first", "total"), ["family", "label"])
+    rows = rows.withColumn("block", F.col("first") + F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    # The other blocks, without those of the same label.
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), lambda o: F.col("pool").isNull() | (o < F.col("first")) | (o >= F.col("first") + F.col("blocks")))
+    pairs = rows.select("family", "block", "cls", "label", "text", F.explode(others).alias("other"))
+    pairs = pairs.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "label", "text")
+    return pairs.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high").mapInArrow(lean(_cross), "u long, v long")
+
+
+def _pair_links(ws: Workspace, nodes: DataFrame, texts: DataFrame, tile: int, block: int) -> DataFrame:
     """(u, v) links of classes in families too large for a task."""
     ends = lambda rows: rows.filter("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
     pairs = ws.save(candidates(nodes.withColumn("label", F.col("cls")), "best", tile), "pairs1")
     tried = ws.save(confirm(chosen(pairs), texts), "tried1")
     roots = components(ws, ends(tried), "first")
-    labelled = nodes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("root", "cls"))
-    left = ws.save(candidates(labelled, "all", tile).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs2")
-    more = ws.save(confirm(left, texts), "tried2")
-    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(ends(more))
+    labelled = texts.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("family", "cls", F.coalesce("root", "cls").alias("label"), "text")
+    more = ws.save(cross_links(ws.save(labelled, "labelled"), block), "crossed")
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
 
 
-def near_components(spark: SparkSession, docs: DataFrame, tile: int = TILE, family: int = FAMILY) -> DataFrame:
+def near_components(spark: SparkSession, docs: DataFrame, tile: int = TILE, family: int = FAMILY, block: int = BLOCK) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text)."""
     ws = Workspace(spark, "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").cast("binary").alias("text"))
@@ -410,7 +495,7 @@ def near_components(spark: SparkSession, docs: DataFrame, tile: int = TILE, fami
     links = ws.save(small.mapInArrow(lean(_settle), "u long, v long"), "links")
     if large.count():
         own = some.join(large, "family", "left_semi")
-        links = links.unionByName(_pair_links(ws, own, texts.join(large, "family", "left_semi"), tile))
+        links = links.unionByName(_pair_links(ws, own, texts.join(large, "family", "left_semi"), tile, block))
     roots = components(ws, links, "settled")
 
     own = nodes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

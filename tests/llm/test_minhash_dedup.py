@@ -76,3 +76,41 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert M.near_components(spark, no_docs).collect() == []
     # Extra columns stay.
     assert M.one_of_each(spark, odd_docs).columns == odd_docs.columns
+
+
+def passage_rows(n, shared=84, own=20, same=6):
+    """Documents in pairs: all have one passage, and the two of a pair have ``same`` words of their own in common."""
+    passage = [f"p{k}" for k in range(shared)]
+    return [(i, " ".join(passage + [f"c{i // 2}x{k}" for k in range(same)] + [f"o{i}x{k}" for k in range(own - same)])) for i in range(n)]
+
+
+def test_links_of_a_hot_passage(spark):
+    # Small batches, as a region inside of one batch is compared whole.
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16")
+    try:
+        rows = passage_rows(1000)
+        got = M.near_components(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8, 3, 300).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_block_links_equal_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.choice(500, 60, replace=False)
+    sets = [np.unique(np.concatenate([base[rng.random(60) > 0.12], rng.choice(9000, rng.integers(0, 12))])).astype(np.uint64) for _ in range(120)]
+    left, right = sets[:70], sets[70:]
+    label_l, label_r = rng.integers(0, 30, 70), rng.integers(0, 30, 50)
+    want = np.arange(120)
+    for a in range(70):
+        for b in range(50):
+            c = len(np.intersect1d(left[a], right[b]))
+            if label_l[a] != label_r[b] and 100 * c >= 75 * (len(left[a]) + len(right[b]) - c):
+                p, q = sorted((want[a], want[70 + b]))
+                want[want == q] = p
+    rows, roots = M.block_links(left, right, label_l, label_r)
+    got = np.arange(120)
+    got[rows] = roots
+    assert got.tolist() == want.tolist() and 1 < len(set(want)) < 120
