@@ -1,18 +1,22 @@
 """Line dedup by a log-template tree, in DataFrame functions alone.
 
 Each line that isn't blank descends a tree of fixed depth: first its number of tokens, then its
-first ``LEADING`` tokens, where a variable field (a token with a digit) matches as ``<*>``; in the
-leaf it belongs to the template that is left when every variable field is ``<*>``.  Lines are thereby
-equal up to white space and variable fields, in whatever order they come.
-
-A template is dropped from all documents if it recurs in at least ``min_docs`` documents with
-different neighbours, and these are at least half of the documents that have it.  Neighbours are
-the templates before and after it; copies of a document repeat them and count once, so a document
-is not emptied because it has many copies.
-
-Null text counts as empty: it has one blank line.  Blank lines stay.  Rows that repeat an id count as
-one document, and each row loses its own lines that go.  Null ids count
-as one document.  Empty tables give empty results.  Other columns are kept by :func:`drop_lines`.
+first ``LEADING`` tokens, where a variable field (a token with a digit) matches as ``<*>``.  In the
+leaf it has the template that is left when every variable field is ``<*>``.  A leaf then generalises
+its templates, in whatever order lines come: a place behind the leading tokens is variable if at least
+``min_docs`` of the leaf's templates are equal but for their tokens there.  Lines of under
+``LEAST_TOKENS`` tokens are left as they are, since too little of them would be left to tell them by,
+and a template's variable places are settled one by one, each with all other tokens equal.
+
+A template recurs if at least ``min_docs`` texts have it; texts whose lines have the same templates
+are copies and count once.  A recurring template is dropped from all documents if at least ``min_docs``
+of its texts consist of recurring lines by no more than half: texts of which more recurs are near copies
+of each other, to be judged as documents, and aren't emptied for being many.
+
+Null text counts as empty: it has one blank line.  Blank lines stay and count nowhere.  Rows that repeat
+an id, and those with a null id, are judged by their own texts, and each loses its own lines that go.  Empty
+tables give empty results.  A text of any length is one row; its lines are exploded.  Other columns are kept by
+:func:`drop_lines`, whatever their names; ``__id``, ``__version`` and ``__gone`` are its own.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 from strandwise.llm.workspace import Workspace
 
 LEADING = 2
+LEAST_TOKENS = 5
 MIN_DOCS = 5
 
 
@@ -38,9 +43,10 @@ def _generalised(lines: Column) -> Column:
 
 
 def _template(general: Column) -> Column:
-    """Hash of the path and the template; null for a blank line."""
-    path = F.concat_ws(" ", F.size(F.split(general, " ")), F.substring_index(general, " ", LEADING))
-    return F.when(general != "", F.struct(F.xxhash64(path).alias("leaf"), F.xxhash64(general).alias("template")))
+    """Number of tokens, hash of the path and hash of the template; null for a blank line."""
+    size = F.size(F.split(general, " "))
+    path = F.concat_ws(" ", size, F.substring_index(general, " ", LEADING))
+    return F.when(general != "", F.struct(size.alias("tokens"), F.xxhash64(path).alias("leaf"), F.xxhash64(general).alias("template")))
 
 
 def _spaced(text: Column) -> Column:
@@ -54,29 +60,61 @@ def _lines(text: Column) -> Column:
 
 
 def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, version, pos, leaf, template, around): a row per line that isn't blank."""
-    places = F.transform(F.array(F.transform(_generalised(_lines(_spaced(F.col(text_col).cast("string")))), _template)), lambda t: F.transform(t, lambda x, i: F.struct(i.alias("pos"), x.alias("t"), F.xxhash64(F.get(t, i - 1), F.get(t, i + 1)).alias("around"))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"), F.inline(F.flatten(places)))
-    return rows.filter(F.col("t").isNotNull()).select("doc_id", "version", "pos", "t.leaf", "t.template", "around")
+    """(doc_id, version, sequence, n_lines, pos, tokens, leaf, template): a row per line that isn't blank.
 
+    ``sequence`` is the hash of all the text's templates, ``n_lines`` their number."""
+    found = F.transform(F.transform(_generalised(_lines(_spaced(F.col(text_col).cast("string")))), _template), lambda x, i: F.struct(i.alias("pos"), x.alias("t")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"), F.filter(found, lambda x: x["t"].isNotNull()).alias("own"))
+    rows = rows.select("doc_id", "version", F.xxhash64(F.transform("own", lambda x: x["t"]["template"])).alias("sequence"), F.size("own").alias("n_lines"), F.inline("own"))
+    return rows.select("doc_id", "version", "sequence", "n_lines", "pos", "t.tokens", "t.leaf", "t.template")
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(leaf, template) of the templates that go."""
-    by_doc = lines.groupBy("leaf", "template", "doc_id").agg(F.min(F.struct("pos", "around"))["around"].alias("around"))
-    by_around = by_doc.groupBy("leaf", "template", "around").agg(F.count("*").alias("docs"))
-    by_template = by_around.groupBy("leaf", "template").agg(F.count("*").alias("arounds"), F.sum("docs").alias("docs"))
-    return by_template.filter((F.col("arounds") >= min_docs) & (F.col("arounds") * 2 >= F.col("docs"))).select("leaf", "template")
+
+def _tokens_of(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(leaf, template, words) of the lines at ``places`` (leaf, template, at) of ``docs``."""
+    wanted = places.groupBy(F.col("at.doc_id").alias("__id"), F.col("at.version").alias("__version")).agg(F.collect_list(F.struct("at.pos", "leaf", "template")).alias("own"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col)).alias("version"))
+    joined = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__version"))).withColumn("lines", _lines(_spaced(F.col("text"))))
+    picked = joined.select(F.inline(F.transform("own", lambda x: F.struct(x["leaf"].alias("leaf"), x["template"].alias("template"), F.get("lines", x["pos"]).alias("line")))))
+    return picked.select("leaf", "template", F.split(_generalised(F.array("line"))[0], " ").alias("words")).dropDuplicates(["leaf", "template"])
+
+
+def generalised_templates(ws: Workspace, docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(leaf, template, general): what a leaf's templates with variable places become."""
+    each = lines.filter(F.col("tokens") >= LEAST_TOKENS).groupBy("leaf", "template").agg(F.min(F.struct("doc_id", "version", "pos")).alias("at"))
+    each = ws.save(each, "each")
+    # Most leaves of prose have too few templates for any place to be variable.
+    full = ws.save(each.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "full")
+    words = ws.save(_tokens_of(docs, ws.save(each.join(full.hint("merge"), "leaf"), "places"), id_col, text_col), "words")
+    # The exclusive or of all places but one stands for the line without that place's token.
+    hashed = words.select("leaf", "template", F.transform("words", lambda w, i: F.xxhash64(w, i)).alias("h"))
+    hashed = hashed.withColumn("all", F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
+    places = hashed.select("leaf", "template", "all", F.posexplode("h").alias("place", "own")).filter(F.col("place") >= LEADING)
+    places = places.withColumn("rest", F.col("all").bitwiseXOR(F.col("own")))
+    variable = ws.save(places.groupBy("leaf", "place", "rest").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).drop("n"), "variable")
+    found = places.join(variable.hint("merge"), ["leaf", "place", "rest"]).groupBy("leaf", "template", "all").agg(F.array_sort(F.collect_set("place")).alias("at"), F.expr("bit_xor(own)").alias("gone"))
+    return ws.save(found.select("leaf", "template", F.xxhash64("leaf", "at", F.col("all").bitwiseXOR(F.col("gone"))).alias("general")), "general")
+
+
+def _often(pairs: DataFrame, min_docs: int) -> DataFrame:
+    return pairs.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("template")
 
 
 def places_to_drop(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, version, gone): positions of the lines that go, for the documents that lose any."""
     ws = Workspace(spark, "lines")
     lines = ws.save(line_templates(docs, id_col, text_col), "lines")
-    # Written first, so that the join reads both sides from shuffles and a hot template's lines can be split.
-    templates = ws.save(recurring(lines, min_docs), "templates")
-    gone = lines.join(templates.hint("merge"), ["leaf", "template"]).select("doc_id", "version", "pos")
-    places = ws.save(gone.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("gone")), "places")
-    ws.close("places")
+    general = generalised_templates(ws, docs, lines, min_docs, id_col, text_col)
+    named = lines.join(general.hint("merge"), ["leaf", "template"], "left").withColumn("template", F.coalesce("general", "template"))
+    named = named.select("doc_id", "version", "sequence", "n_lines", "pos", "template")
+    # Small tables are written first, so that joins read both sides from shuffles and a hot template's lines can be split.
+    recurring = ws.save(_often(named.select("template", "sequence").distinct(), min_docs), "recurring")
+    hits = ws.save(named.join(recurring.hint("merge"), "template"), "hits")
+    own = hits.groupBy("sequence", "doc_id", "version", "n_lines").agg(F.countDistinct("pos").alias("n"))
+    voters = ws.save(own.filter(F.col("n") * 2 <= F.col("n_lines")).select("sequence").distinct(), "voters")
+    templates = ws.save(_often(hits.select("template", "sequence").distinct().join(voters.hint("merge"), "sequence"), min_docs), "templates")
+    gone = hits.join(templates.hint("merge"), "template").select("doc_id", "version", "pos")
+    places = ws.save(gone.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("gone")), "gone")
+    ws.close("gone")
     return places
 
 
@@ -111,11 +149,18 @@ with l as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
 t as (
   select *, nullif(regexp_replace(trim(regexp_replace(line, '[ \t\r\x0B\f]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g'), '') as template from l),
-c as (
-  select *, coalesce(lag(template) over w, '') || chr(10) || coalesce(lead(template) over w, '') as around from t window w as (partition by doc_id order by pos)),
-d as (select template, doc_id, count(distinct around) as n, arg_min(around, pos) as around from c where template is not null group by all),
-g as (select template from d group by template having count(distinct around) >= 5 and count(distinct around) * 2 >= count(*)),
-k as (select c.doc_id, c.pos, c.line, g.template is not null as gone from c left join g using (template)),
+q as (select doc_id, string_agg(template, chr(10) order by pos) as sequence, count(template) as n_lines from t group by doc_id),
+e as (select *, len(w) || ' ' || array_to_string(w[1:2], ' ') as leaf from (select template, string_split(template, ' ') as w from (select distinct template from t where template is not null)) where len(w) >= 5),
+i as (select leaf, template, w, unnest(range(3, len(w) + 1)) as i from e where leaf in (select leaf from e group by leaf having count(*) >= 5)),
+r as (select leaf, template, i, count(*) over (partition by leaf, i, array_to_string(w[:i - 1], ' '), array_to_string(w[i + 1:], ' ')) as n from i),
+a as (select template, list(i order by i) as places from r where n >= 5 group by template),
+g as (
+  select template, cast(places as varchar) || ' ' || array_to_string(list_transform(string_split(template, ' '), lambda x, k: case when list_contains(places, k) then '' else x end), ' ') as general from a),
+d as (select t.doc_id, t.pos, t.line, coalesce(general, template) as template, sequence, n_lines from t join q using (doc_id) left join g using (template)),
+c as (select template from d where template is not null group by template having count(distinct sequence) >= 5),
+h as (select *, count(*) over (partition by doc_id) * 2 <= n_lines as votes from d join c using (template)),
+f as (select template from h where votes group by template having count(distinct sequence) >= 5),
+k as (select d.doc_id, d.pos, d.line, f.template is not null as gone from d left join f using (template)),
 o as (select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as kept from k group by doc_id)
 select doc_id, n_lines, n_dropped, length(kept) as kept_chars, sha256(kept) as kept_sha256 from o
 """

@@ -29,6 +29,43 @@ def test_too_few_documents(spark):
     assert all("same" not in t for t in kept(spark, texts, 4).values())
 
 
+def test_a_field_without_digits_varies(spark):
+    texts = [f"own {c}{c} words\nshared footer about cookies by acme{c}" for c in "abcdefghijkl"]
+    assert kept(spark, texts) == {k: f"own {c}{c} words" for k, c in enumerate("abcdefghijkl")}
+    # Too few words differ, so that each is a line of its own.
+    assert kept(spark, texts[:4]) == dict(enumerate(texts[:4]))
+
+
+def test_a_leaf_of_unlike_lines_stays(spark):
+    texts = [f"the old {c}a{c} {c}b{c} {c}c{c} {c}d{c}\nown {c}{c} words" for c in "abcdefghijkl"]
+    assert kept(spark, texts) == dict(enumerate(texts))
+
+
+def test_footers_of_several_lines(spark):
+    own = [f"first {c} one\nsecond {c} one\nthird {c} one" for c in "abcdefgh"]
+    texts = [f"{t}\nall rights\nsee terms\nthe end" for t in own]
+    assert kept(spark, texts) == dict(enumerate(own))
+
+
+def test_lines_between_blank_lines(spark):
+    texts = [f"first {c} one\n\nread more\n\nlast {c} one" for c in "abcdefgh"]
+    assert kept(spark, texts) == {k: t.replace("read more\n", "") for k, t in enumerate(texts)}
+
+
+def test_copies_do_not_save_a_line(spark):
+    # A third of the rows and more are copies of one text that has the line too.
+    texts = [f"first {c} one\nread more\nlast {c} one" for c in "abcdefgh"] + ["copy a\nread more\ncopy b"] * 30
+    got = kept(spark, texts)
+    assert not any("read more" in t for t in got.values())
+    assert got[20] == "copy a\ncopy b"
+
+
+def test_near_copies_stay(spark):
+    lines = [f"line {c} of the text" for c in "abcdefghij"]
+    texts = ["\n".join([*lines[:k], f"edit {'x' * k}y here", *lines[k + 1 :]]) for k in range(10)]
+    assert kept(spark, texts) == dict(enumerate(texts))
+
+
 def test_other_white_space_and_blank_lines(spark):
     texts = [f"p{'x' * k}\n\n a\x0bb\f c \r\nq{'y' * k}\n" for k in range(6)]
     assert kept(spark, texts) == {k: f"p{'x' * k}\n\nq{'y' * k}\n" for k in range(6)}
