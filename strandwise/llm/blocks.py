@@ -1,10 +1,15 @@
 """Documents in chunks of a few MB, and an exchange of sorted 64-bit keys between chunks.
 
 Grouping every n-gram or window of a corpus as rows costs tens of bytes and a JVM row each.  Here a
-chunk of documents sends, for each range of the key space, one row that holds its distinct keys,
-sorted and delta-coded, with a value for each; a range's task merges the chunks' rows and answers
-each with one row of values in the order of the keys sent.  A key that is everywhere is sent once a
+chunk of documents sends, for each range of the key space, one message that holds its distinct keys,
+sorted and delta-coded, with a value for each; a range's task reduces the values of equal keys and answers
+each message with one of values in the order of the keys sent.  A key that is everywhere is sent once a
 chunk, whatever the number of its occurrences, and chunks and ranges are of bounded size.
+
+Ranges grow in number with the chunks, so direct messages would grow with their square.  Beyond
+``2 ** FAN_BITS`` ranges, keys go in hops: a chunk sends to that many coarse ranges at most, and as many
+messages to one coarse range are reduced to one row, which sends on to the parts of the range as a chunk
+does.  Messages a hop are at most ``2 ** FAN_BITS`` a chunk; hops grow with the logarithm of the chunks.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from strandwise.llm.workspace import Workspace
 CHUNK_BYTES = 2 << 20
 CHUNKS_PER_RANGE = 4
 LEAST_RANGE_BITS = 7
+#: Leading bits of keys by which one hop parts them.
+FAN_BITS = 10
 NULL_ID = (1 << 63) - 1
 
 U64 = np.uint64
@@ -41,13 +48,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of the k bytes from each position of ``data`` (uint8) on; len(data) - k + 1 of them."""
+#: A random value for each byte, for a second hash that is independent of the first.
+_VALUES = np.random.Generator(np.random.Philox(50)).integers(0, 1 << 64, 256, dtype=U64)
+
+
+def gram_hashes(data: np.ndarray, k: int, second: bool = False) -> np.ndarray:
+    """64-bit hash of the k bytes from each position of ``data`` (uint8) on; len(data) - k + 1 of them.
+    ``second`` gives another hash, of other byte values."""
     n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
     out = np.zeros(n, U64)
-    part, size, at = data.astype(U64) + U64(1), 1, 0
+    part, size, at = _VALUES[data] if second else data.astype(U64) + U64(1), 1, 0
     while True:
         if k & size:
             out *= U64(pow(_BASE, size, 1 << 64))
@@ -205,14 +217,74 @@ def range_bits(chunks: DataFrame) -> int:
 
 def split_ranges(keys: np.ndarray, bits: int, key_bits: int = 64) -> list[tuple[int, slice]]:
     """(range, where it lies) in sorted ``keys`` of ``key_bits`` bits; ranges without keys are left out."""
-    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=U64) << U64(key_bits - bits))
-    edges = np.concatenate([[0], edges, [len(keys)]])
-    return [(r, slice(a, b)) for r, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
+    if not len(keys):
+        return []
+    name = keys >> U64(key_bits - bits) if bits else np.zeros(len(keys), U64)
+    edges = np.concatenate([[0], np.flatnonzero(name[1:] != name[:-1]) + 1, [len(keys)]])
+    return [(int(name[a]), slice(a, b)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+class Reduction:
+    """What an exchange makes of equal keys.  Values are a tuple of arrays, one entry of each a key.
+
+    A subclass packs values, reduces those of equal keys, and says what a sender is told."""
+
+    key_bits = 64
+
+    def pack(self, values: tuple[np.ndarray, ...]) -> bytes:
+        raise NotImplementedError
+
+    def unpack(self, blob: bytes) -> tuple[np.ndarray, ...]:
+        raise NotImplementedError
+
+    def order(self, keys: np.ndarray, values: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the keys, and in it where another key begins."""
+        order = np.argsort(keys, kind="stable")
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        return order, new
+
+    def reduce(self, values: tuple[np.ndarray, ...], first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Values of the groups of sorted ``values`` that begin at ``first``."""
+        raise NotImplementedError
+
+    def told(self, own: tuple[np.ndarray, ...], reduced: tuple[np.ndarray, ...], above: np.ndarray | None) -> np.ndarray:
+        """The answer to ``own`` values, from what they were reduced to and what that was ``told`` itself, if it was sent on."""
+        raise NotImplementedError
+
+    def pack_told(self, told: np.ndarray) -> bytes:
+        return pack_values(told)
+
+    def unpack_told(self, blob: bytes) -> np.ndarray:
+        return unpack_values(blob)
+
+    def gather(self, keys: list[bytes], data: list[bytes]) -> tuple[np.ndarray, tuple[np.ndarray, ...], tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+        """(reduced keys, their values, all values, each one's place among the reduced, ends of the messages)."""
+        each = [unpack_sorted(k) for k in keys]
+        every = np.concatenate(each)
+        values = tuple(np.concatenate(c) for c in zip(*[self.unpack(d) for d in data], strict=True))
+        order, new = self.order(every, values)
+        first = np.flatnonzero(new)
+        place = np.empty(len(every), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return every[order][first], self.reduce(tuple(v[order] for v in values), first), values, place, np.cumsum([len(k) for k in each])
+
+    def messages(self, keys: np.ndarray, values: tuple[np.ndarray, ...], bits: int) -> list[tuple[int, bytes, bytes]]:
+        return [(r, pack_sorted(keys[s]), self.pack(tuple(v[s] for v in values))) for r, s in split_ranges(keys, bits, self.key_bits)]
 
+    def answers(self, keys: list[bytes], data: list[bytes], above: list[bytes] | None = None) -> list[bytes]:
+        """An answer to each message of one range."""
+        _, reduced, values, place, ends = self.gather(keys, data)
+        up = np.concatenate([self.unpack_told(x) for x in above])[place] if above is not None else None
+        told = self.told(values, tuple(v[place] for v in reduced), up)
+        return [self.pack_told(x) for x in np.split(told, ends[:-1])]
 
-SENT = "range int, chunk_id long, keys binary, data binary"
-Sender = Callable[[dict], list[tuple[int, bytes, bytes | None]]]
-Merger = Callable[[list[bytes], list[bytes | None]], list[bytes]]
+
+SENT = "range long, chunk_id long, keys binary, data binary"
+GATHERED = "chunk_id long, range long, chunks array<long>, keys array<binary>, data array<binary>"
+REPLY = "chunk_id long, range long, reply binary"
+#: (sorted keys, values) of a row; None if it has none.
+Sender = Callable[[dict], tuple[np.ndarray, tuple[np.ndarray, ...]] | None]
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -226,25 +298,60 @@ def arrays_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["text"], np.uint8), np.array(row["offsets"], np.int64), np.array(row["ids"], np.int64)
 
 
-def exchange(table: DataFrame, send: Sender, merge: Merger) -> DataFrame:
-    """(chunk_id, replies): for each chunk the (range, reply) of all ranges that it sent keys to.
+def _sent(table: DataFrame, send: Sender, how: Reduction, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            got = send(row)
+            if got is not None and (out := how.messages(*got, bits)):
+                cols = list(zip(*out, strict=True))
+                yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array([row["chunk_id"]] * len(out), pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["range", "chunk_id", "keys", "data"])
 
-    ``send`` gives (range, keys, data) of a row of ``table``; ``merge`` gets the keys and data that
-    chunks sent to one range and returns a reply for each of them.
-    """
+    return table.mapInArrow(lean(run), SENT)
 
-    def sender(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            if sent := send(row):
-                cols = list(zip(*sent, strict=True))
-                yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array([row["chunk_id"]] * len(sent), pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["range", "chunk_id", "keys", "data"])
 
-    def merger(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"chunk_id": rows.chunk_id, "range": rows["range"], "reply": merge(list(rows["keys"]), list(rows["data"]))})
+def exchange(ws: Workspace, name: str, table: DataFrame, send: Sender, how: Reduction, bits: int, fan_bits: int = FAN_BITS) -> DataFrame:
+    """(chunk_id, replies), written as ``name``: for each row of ``table`` (chunk_id, ...) the (range, reply) of all ranges
+    that it sent keys to, each reply in the order of the keys.  Keys go in hops of ``fan_bits``."""
+    replies = _exchanged(ws, name, table, send, how, 0, bits, fan_bits)
+    return ws.save(replies.groupBy("chunk_id").agg(F.collect_list(F.struct("range", "reply")).alias("replies")), name)
+
+
+def _exchanged(ws: Workspace, name: str, table: DataFrame, send: Sender, how: Reduction, done: int, bits: int, fan_bits: int) -> DataFrame:
+    """REPLY rows to ``table``, each row of which lies in one range of ``done`` bits."""
+    to = min(bits, done + fan_bits)
+    sent = _sent(table, send, how, to)
+    if to == bits:
+
+        def settle(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"chunk_id": rows.chunk_id, "range": rows["range"], "reply": how.answers(list(rows["keys"]), list(rows["data"]))})
 
-    got = table.mapInArrow(lean(sender), SENT).groupBy("range").applyInPandas(merger, "chunk_id long, range int, reply binary")
-    return got.groupBy("chunk_id").agg(F.collect_list(F.struct("range", "reply")).alias("replies"))
+        return sent.groupBy("range").applyInPandas(settle, REPLY)
+
+    # About 2 ** fan_bits messages a row, so that rows are as many and as large as those that sent.
+    groups = CHUNKS_PER_RANGE << (bits - to)
+    dealt = sent.withColumn("group", F.pmod(F.xxhash64("chunk_id"), F.lit(groups)))
+    listed = dealt.groupBy("range", "group").agg(F.collect_list(F.struct("chunk_id", "keys", "data")).alias("m"))
+    gathered = ws.save(listed.select((F.col("range") * groups + F.col("group")).alias("chunk_id"), "range", F.col("m.chunk_id").alias("chunks"), "m.keys", "m.data"), f"{name}_hop{to}")
+
+    def forward(row: dict) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        keys, reduced, *_ = how.gather(row["keys"], row["data"])
+        return keys, reduced
+
+    above = _exchanged(ws, name, gathered, forward, how, to, bits, fan_bits)
+    above = ws.save(above.groupBy("chunk_id").agg(F.collect_list(F.struct("range", "reply")).alias("replies")), f"{name}_above{to}")
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            out = how.answers(row["keys"], row["data"], in_order(row["replies"]))
+            yield pa.record_batch([pa.array(row["chunks"], pa.int64()), pa.array([row["range"]] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["chunk_id", "range", "reply"])
+
+    return gathered.join(above, "chunk_id").mapInArrow(lean(back), REPLY)
 
 
 def in_order(replies: list[dict] | None) -> list[bytes]:
     return [bytes(x["reply"]) for x in sorted(replies or [], key=lambda x: x["range"])]
+
+
+def told(how: Reduction, replies: list[dict] | None) -> np.ndarray:
+    """What all ranges answered, in the order of the keys."""
+    return np.concatenate([how.unpack_told(r) for r in in_order(replies)])

@@ -71,26 +71,41 @@ def _names(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return at[order], np.cumsum(new) - 1, h[first] >> U64(64 - NAME_BITS - bits), doc[first] != doc[last] if len(h) else np.zeros(0, bool)
 
 
+class _Several(blocks.Reduction):
+    """Whether several documents have a name."""
+
+    def __init__(self, bits: int):
+        self.key_bits = NAME_BITS + bits
+
+    def pack(self, values: tuple[np.ndarray, ...]) -> bytes:
+        return blocks.pack_bits(values[0])
+
+    def unpack(self, blob: bytes) -> tuple[np.ndarray, ...]:
+        return (blocks.unpack_bits(blob),)
+
+    def reduce(self, values: tuple[np.ndarray, ...], first: np.ndarray) -> tuple[np.ndarray, ...]:
+        if not len(first):
+            return values
+        return (np.logical_or.reduceat(values[0], first) | (np.diff(np.append(first, len(values[0]))) > 1),)
+
+    def told(self, own: tuple[np.ndarray, ...], reduced: tuple[np.ndarray, ...], above: np.ndarray | None) -> np.ndarray:
+        return reduced[0] if above is None else above
+
+    def pack_told(self, told: np.ndarray) -> bytes:
+        return blocks.pack_bits(told)
+
+    def unpack_told(self, blob: bytes) -> np.ndarray:
+        return blocks.unpack_bits(blob)
+
+
 def _send_names(bits: int) -> blocks.Sender:
     def send(row: dict):
         _, _, names, several = _names(row, bits)
-        return [(r, blocks.pack_sorted(names[s]), blocks.pack_bits(several[s])) for r, s in blocks.split_ranges(names, bits, NAME_BITS + bits)]
+        return names, (several,)
 
     return send
 
 
-def _merge_names(keys: list[bytes], data: list[bytes | None]) -> list[bytes]:
-    names = [blocks.unpack_sorted(k) for k in keys]
-    several = [blocks.unpack_bits(d) for d in data]
-    every = np.sort(np.concatenate([*names, *[n[s] for n, s in zip(names, several, strict=True)]]))
-    twice = every[1:][every[1:] == every[:-1]]
-    out = []
-    for n in names:
-        at = np.searchsorted(twice, n)
-        out.append(blocks.pack_bits((at < len(twice)) & (twice[np.minimum(at, max(len(twice) - 1, 0))] == n) if len(twice) else np.zeros(len(n), bool)))
-    return out
-
-
 def _runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.view(np.int8), [0]])))
@@ -138,11 +153,8 @@ def _segments(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in blocks.rows_of(batches):
-            replies = blocks.in_order(row["replies"])
-            if not replies:
-                continue
             at, place, _, _ = _names(row, bits)
-            kept = np.sort(at[np.concatenate([blocks.unpack_bits(r) for r in replies])[place]])
+            kept = np.sort(at[blocks.told(_Several(bits), row["replies"])[place]])
             data, offsets, _ = blocks.arrays_of(row)
             doc = np.searchsorted(offsets, kept, side="right") - 1
             low, high = np.maximum(kept - (MODULUS - 1), offsets[doc]), np.minimum(kept, offsets[doc + 1] - LENGTH)
@@ -188,7 +200,7 @@ def _longer(row: dict, bits: int) -> tuple[np.ndarray, ...]:
 def _send_longer(bits: int) -> blocks.Sender:
     def send(row: dict):
         _, _, _, names, several = _longer(row, bits)
-        return [(r, blocks.pack_sorted(names[s]), blocks.pack_bits(several[s])) for r, s in blocks.split_ranges(names, bits, NAME_BITS + bits)]
+        return names, (several,)
 
     return send
 
@@ -199,7 +211,7 @@ def _narrow(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in blocks.rows_of(batches):
             low, high, place, _, _ = _longer(row, bits)
-            kept = np.concatenate([blocks.unpack_bits(r) for r in blocks.in_order(row["replies"])])[place]
+            kept = blocks.told(_Several(bits), row["replies"])[place]
             if not kept.any():
                 continue
             sizes = np.array(row["sizes"], np.int64)
@@ -211,21 +223,20 @@ def _narrow(bits: int):
     return run
 
 
-def _prefixes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(id of the window's document, place of its prefix, sorted prefixes, smallest id of each), and
-    the windows in the order of their prefixes; windows are in the order of the segments' bytes."""
+def _prefixes(row: dict) -> tuple[np.ndarray, ...]:
+    """The windows in the order of their prefixes, which are known by two hashes, as (window, place of its prefix, sorted
+    first hashes of the prefixes, their second hashes, smallest id of each, id of the window's document, segment of each
+    window); windows are in the order of the segments' bytes."""
     data, sizes = np.frombuffer(row["text"], np.uint8), np.array(row["sizes"], np.int64)
     ids = np.array(row["ids"], np.int64)[np.array(row["docs"], np.int64)]
     segment = np.repeat(np.arange(len(sizes)), sizes - LENGTH + 1)
     at = np.arange(len(segment)) + segment * (LENGTH - 1)
-    h = blocks.gram_hashes(data, LENGTH)[at]
+    h, check = blocks.gram_hashes(data, LENGTH)[at], blocks.gram_hashes(data, LENGTH, second=True)[at]
     owner = ids[segment]
-    order = np.argsort(h, kind="stable")
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
+    order, new = PREFIXES.order(h, (check,))
+    h, check, owner = h[order], check[order], owner[order]
     first = np.flatnonzero(new)
-    return order, np.cumsum(new) - 1, h[first], np.minimum.reduceat(owner, first), owner, segment
+    return order, np.cumsum(new) - 1, h[first], check[first], np.minimum.reduceat(owner, first), owner, segment
 
 
 def _pack_ids(ids: np.ndarray, which: np.ndarray) -> bytes:
@@ -240,27 +251,50 @@ def _unpack_ids(blob: bytes) -> np.ndarray:
     return blocks.unpack_sorted(blob[8:size]).astype(np.int64)[blocks.unpack_values(blob[size:]).astype(np.int64)]
 
 
-def _send_prefixes(bits: int) -> blocks.Sender:
-    def send(row: dict):
-        _, _, prefixes, smallest, _, _ = _prefixes(row)
-        ids, which = np.unique(smallest, return_inverse=True)
-        return [(r, blocks.pack_sorted(prefixes[s]), _pack_ids(ids, which[s])) for r, s in blocks.split_ranges(prefixes, bits)]
+class _Smallest(blocks.Reduction):
+    """The smallest document that has a prefix; a sender is told whether that is smaller than its own.
 
-    return send
+    Keys of one first hash are told apart by the second, which is a value's first entry."""
+
+    def pack(self, values: tuple[np.ndarray, ...]) -> bytes:
+        check = np.ascontiguousarray(values[0].astype("<u8")).tobytes()
+        return len(check).to_bytes(8, "little") + check + _pack_ids(*np.unique(values[1], return_inverse=True))
+
+    def unpack(self, blob: bytes) -> tuple[np.ndarray, ...]:
+        size = 8 + int.from_bytes(blob[:8], "little")
+        return np.frombuffer(blob[8:size], "<u8"), _unpack_ids(blob[size:])
+
+    def order(self, keys: np.ndarray, values: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        other = values[0][order][1:] != values[0][order][:-1]
+        if (other & ~new[1:]).any():
+            # Some first hash stands for several prefixes.
+            order = np.lexsort((values[0], keys))
+            new[1:] = (keys[order][1:] != keys[order][:-1]) | (values[0][order][1:] != values[0][order][:-1])
+        return order, new
+
+    def reduce(self, values: tuple[np.ndarray, ...], first: np.ndarray) -> tuple[np.ndarray, ...]:
+        return (values[0][first], np.minimum.reduceat(values[1], first)) if len(first) else values
+
+    def told(self, own: tuple[np.ndarray, ...], reduced: tuple[np.ndarray, ...], above: np.ndarray | None) -> np.ndarray:
+        smaller = reduced[1] < own[1]
+        return smaller if above is None else smaller | above
+
+    def pack_told(self, told: np.ndarray) -> bytes:
+        return blocks.pack_bits(told)
+
+    def unpack_told(self, blob: bytes) -> np.ndarray:
+        return blocks.unpack_bits(blob)
+
+
+PREFIXES = _Smallest()
 
 
-def _merge_prefixes(keys: list[bytes], data: list[bytes | None]) -> list[bytes]:
-    """For each prefix of each chunk: does a document smaller than all of the chunk's have it?"""
-    prefixes = [blocks.unpack_sorted(k) for k in keys]
-    smallest = [_unpack_ids(d) for d in data]
-    every, ids = np.concatenate(prefixes), np.concatenate(smallest)
-    order = np.argsort(every, kind="stable")
-    new = np.ones(len(every), bool)
-    new[1:] = every[order][1:] != every[order][:-1]
-    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-    earlier = np.empty(len(every), bool)
-    earlier[order] = least < ids[order]
-    return [blocks.pack_bits(x) for x in np.split(earlier, np.cumsum([len(p) for p in prefixes])[:-1])]
+def _send_prefixes(row: dict) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    _, _, prefixes, check, smallest, _, _ = _prefixes(row)
+    return prefixes, (check, smallest)
 
 
 SPANS = "chunk_id long, docs array<int>, starts array<long>, ends array<long>"
@@ -269,8 +303,8 @@ SPANS = "chunk_id long, docs array<int>, starts array<long>, ends array<long>"
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a chunk's segments, the maximal runs of bytes that go, by document."""
     for row in blocks.rows_of(batches):
-        order, place, _, smallest, owner, segment = _prefixes(row)
-        earlier = np.concatenate([blocks.unpack_bits(r) for r in blocks.in_order(row["replies"])])
+        order, place, _, _, smallest, owner, segment = _prefixes(row)
+        earlier = blocks.told(PREFIXES, row["replies"])
         goes = np.empty(len(order), bool)
         goes[order] = earlier[place] | (owner > smallest[place])
         sizes, starts, docs = (np.array(row[c], np.int64) for c in ("sizes", "starts", "docs"))
@@ -338,18 +372,18 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False)
     del alone
     ws.release()
     bits = blocks.range_bits(chunks)
-    names = ws.save(blocks.exchange(chunks, _send_names(bits), _merge_names), "names")
+    names = blocks.exchange(ws, "names", chunks, _send_names(bits), _Several(bits), bits)
     ws.release()
     segments = ws.save(chunks.join(names, "chunk_id").mapInArrow(lean(_segments(bits)), SEGMENTS), "segments")
     del names
     ws.release()
-    longer = ws.save(blocks.exchange(segments, _send_longer(bits), _merge_names), "longer")
+    longer = blocks.exchange(ws, "longer", segments, _send_longer(bits), _Several(bits), bits)
     ws.release()
     segments = ws.save(segments.join(longer, "chunk_id").mapInArrow(lean(_narrow(bits)), SEGMENTS), "narrow")
     del longer
     ws.drop("names", "segments", "longer")
     ws.release()
-    prefixes = ws.save(blocks.exchange(segments, _send_prefixes(bits), _merge_prefixes), "prefixes")
+    prefixes = blocks.exchange(ws, "prefixes", segments, _send_prefixes, PREFIXES, bits)
     ws.release()
     spans = ws.save(segments.join(prefixes, "chunk_id").mapInArrow(lean(_spans), SPANS), "spans")
     del segments, prefixes

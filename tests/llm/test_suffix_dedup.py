@@ -52,3 +52,30 @@ def test_odd_rows(spark, odd_docs, no_docs):
     out = D.without_repeats(spark, odd_docs)
     assert out.columns == odd_docs.columns
     assert all(r.text is None or r.text == r.text.encode().decode() for r in out.collect())
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """Removals of whole chunks whose first hash has only 4 bits, without Spark."""
+    real = blocks.gram_hashes
+    monkeypatch.setattr(blocks, "gram_hashes", lambda data, k, second=False: real(data, k, second) if second else real(data, k) & blocks.U64(15))
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcd") for _ in range(160)) for _ in range(3)]
+    docs = [(i, base[i // 4][i : i + 110] + "".join(rng.choice("xyz") for _ in range(40))) for i in range(12)]
+    rows = []
+    for c in range(3):
+        own = docs[c::3]
+        text = [t.encode() for _, t in own]
+        # The whole texts as segments, so that only prefixes decide.
+        rows.append({"chunk_id": c, "ids": [i for i, _ in own], "docs": list(range(4)), "starts": [0] * 4, "sizes": [len(t) for t in text], "text": b"".join(text)})
+    sent = [D.PREFIXES.messages(*D._send_prefixes(r), 0)[0] for r in rows]
+    answers = D.PREFIXES.answers([m[1] for m in sent], [m[2] for m in sent])
+    want = brute.repeats(docs)
+    for row, told in zip(rows, answers):
+        spans = {}
+        row["replies"] = [{"range": 0, "reply": told}]
+        for b in D._spans(iter([D.pa.RecordBatch.from_pylist([row])])):
+            for out in b.to_pylist():
+                for d, s, e in zip(out["docs"], out["starts"], out["ends"]):
+                    spans.setdefault(d, []).append(e - s)
+        for d, i in enumerate(row["ids"]):
+            assert want[i, docs[i][1].encode()][1:3] == (sum(spans.get(d, [])), len(spans.get(d, [])))
