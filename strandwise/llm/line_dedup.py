@@ -1,12 +1,12 @@
 """Line dedup by a log-template tree, in DataFrame functions alone.
 
-Each line that isn't blank descends a tree of fixed depth: first its number of tokens, then its
-first ``LEADING`` tokens, where a variable field (a token with a digit) matches as ``<*>``.  In the
-leaf it has the template that is left when every variable field is ``<*>``.  A leaf then generalises
-its templates, in whatever order lines come: a place behind the leading tokens is variable if at least
-``min_docs`` of the leaf's templates are equal but for their tokens there.  Lines of under
-``LEAST_TOKENS`` tokens are left as they are, since too little of them would be left to tell them by,
-and a template's variable places are settled one by one, each with all other tokens equal.
+Each line that isn't blank descends a tree of fixed depth: first its number of tokens, then the leading
+half of its tokens, where a variable field (a token with a digit) matches as ``<*>``.  In the leaf it has
+the template that is left when every variable field is ``<*>``.  A leaf then generalises its templates, in
+whatever order lines come: a place behind the leading tokens is variable if at least ``min_docs`` of the
+leaf's templates are equal but for their tokens there.  Lines of under ``LEAST_TOKENS`` tokens are left as
+they are, since too little of them would be left to tell them by.  A template's variable places are settled
+one by one, each with all other tokens equal; fields among the leading tokens vary only by digits.
 
 A template recurs if at least ``min_docs`` texts have it; texts whose lines have the same templates
 are copies and count once.  A recurring template is dropped from all documents if at least ``min_docs``
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from strandwise.llm.workspace import Workspace
 
-LEADING = 2
 LEAST_TOKENS = 5
 MIN_DOCS = 5
 
@@ -44,9 +43,9 @@ def _generalised(lines: Column) -> Column:
 
 def _template(general: Column) -> Column:
     """Number of tokens, hash of the path and hash of the template; null for a blank line."""
-    size = F.size(F.split(general, " "))
-    path = F.concat_ws(" ", size, F.substring_index(general, " ", LEADING))
-    return F.when(general != "", F.struct(size.alias("tokens"), F.xxhash64(path).alias("leaf"), F.xxhash64(general).alias("template")))
+    tokens = F.length(general) - F.length(F.replace(general, F.lit(" "), F.lit(""))) + 1
+    leading = F.call_function("substring_index", general, F.lit(" "), F.shiftright(tokens, 1))
+    return F.when(general != "", F.struct(tokens.alias("tokens"), F.xxhash64(tokens, leading).alias("leaf"), F.xxhash64(general).alias("template")))
 
 
 def _spaced(text: Column) -> Column:
@@ -64,14 +63,16 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``sequence`` is the hash of all the text's templates, ``n_lines`` their number."""
     found = F.transform(F.transform(_generalised(_lines(_spaced(F.col(text_col).cast("string")))), _template), lambda x, i: F.struct(i.alias("pos"), x.alias("t")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"), F.filter(found, lambda x: x["t"].isNotNull()).alias("own"))
-    rows = rows.select("doc_id", "version", F.xxhash64(F.transform("own", lambda x: x["t"]["template"])).alias("sequence"), F.size("own").alias("n_lines"), F.inline("own"))
+    own = F.filter(found, lambda x: x["t"].isNotNull())
+    # In an array of one, since a column that is used twice would be computed twice.
+    once = F.transform(F.array(own), lambda o: F.struct(F.xxhash64(F.transform(o, lambda x: x["t"]["template"])).alias("sequence"), F.size(o).alias("n_lines"), o.alias("own")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"), F.inline(once))
+    rows = rows.select("doc_id", "version", "sequence", "n_lines", F.inline("own"))
     return rows.select("doc_id", "version", "sequence", "n_lines", "pos", "t.tokens", "t.leaf", "t.template")
 
 
-def _tokens_of(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(leaf, template, words) of the lines at ``places`` (leaf, template, at) of ``docs``."""
-    wanted = places.groupBy(F.col("at.doc_id").alias("__id"), F.col("at.version").alias("__version")).agg(F.collect_list(F.struct("at.pos", "leaf", "template")).alias("own"))
+def _tokens_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(leaf, template, words) of the ``wanted`` lines (__id, __version, own: array of (pos, leaf, template)) of ``docs``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col)).alias("version"))
     joined = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__version"))).withColumn("lines", _lines(_spaced(F.col("text"))))
     picked = joined.select(F.inline(F.transform("own", lambda x: F.struct(x["leaf"].alias("leaf"), x["template"].alias("template"), F.get("lines", x["pos"]).alias("line")))))
@@ -80,15 +81,18 @@ def _tokens_of(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -
 
 def generalised_templates(ws: Workspace, docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(leaf, template, general): what a leaf's templates with variable places become."""
-    each = lines.filter(F.col("tokens") >= LEAST_TOKENS).groupBy("leaf", "template").agg(F.min(F.struct("doc_id", "version", "pos")).alias("at"))
+    # Any line of a template will do, and primitive columns keep the aggregate in hash tables.
+    each = lines.filter(F.col("tokens") >= LEAST_TOKENS).groupBy("leaf", "template").agg(*[F.first(c).alias(c) for c in ("doc_id", "version", "pos")])
     each = ws.save(each, "each")
     # Most leaves of prose have too few templates for any place to be variable.
     full = ws.save(each.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "full")
-    words = ws.save(_tokens_of(docs, ws.save(each.join(full.hint("merge"), "leaf"), "places"), id_col, text_col), "words")
+    wanted = each.join(full.hint("merge"), "leaf").groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).agg(F.collect_list(F.struct("pos", "leaf", "template")).alias("own"))
+    # Written, so that Spark knows its size and need not shuffle the texts if it is small.
+    words = ws.save(_tokens_of(docs, ws.save(wanted, "wanted"), id_col, text_col), "words")
     # The exclusive or of all places but one stands for the line without that place's token.
     hashed = words.select("leaf", "template", F.transform("words", lambda w, i: F.xxhash64(w, i)).alias("h"))
     hashed = hashed.withColumn("all", F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
-    places = hashed.select("leaf", "template", "all", F.posexplode("h").alias("place", "own")).filter(F.col("place") >= LEADING)
+    places = hashed.select("leaf", "template", "all", F.size("h").alias("size"), F.posexplode("h").alias("place", "own")).filter(F.col("place") >= F.shiftright(F.col("size"), 1))
     places = places.withColumn("rest", F.col("all").bitwiseXOR(F.col("own")))
     variable = ws.save(places.groupBy("leaf", "place", "rest").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).drop("n"), "variable")
     found = places.join(variable.hint("merge"), ["leaf", "place", "rest"]).groupBy("leaf", "template", "all").agg(F.array_sort(F.collect_set("place")).alias("at"), F.expr("bit_xor(own)").alias("gone"))
@@ -104,11 +108,11 @@ def places_to_drop(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOC
     ws = Workspace(spark, "lines")
     lines = ws.save(line_templates(docs, id_col, text_col), "lines")
     general = generalised_templates(ws, docs, lines, min_docs, id_col, text_col)
-    named = lines.join(general.hint("merge"), ["leaf", "template"], "left").withColumn("template", F.coalesce("general", "template"))
-    named = named.select("doc_id", "version", "sequence", "n_lines", "pos", "template")
     # Small tables are written first, so that joins read both sides from shuffles and a hot template's lines can be split.
-    recurring = ws.save(_often(named.select("template", "sequence").distinct(), min_docs), "recurring")
-    hits = ws.save(named.join(recurring.hint("merge"), "template"), "hits")
+    pairs = ws.save(lines.select("leaf", "template", "sequence").distinct().join(general.hint("merge"), ["leaf", "template"], "left").withColumn("general", F.coalesce("general", "template")), "pairs")
+    often = ws.save(_often(pairs.select(F.col("general").alias("template"), "sequence").distinct(), min_docs), "often")
+    recurring = ws.save(pairs.select("leaf", "template", "general").distinct().join(often.select(F.col("template").alias("general")).hint("merge"), "general"), "recurring")
+    hits = ws.save(lines.join(recurring.hint("merge"), ["leaf", "template"]).select("doc_id", "version", "sequence", "n_lines", "pos", F.col("general").alias("template")), "hits")
     own = hits.groupBy("sequence", "doc_id", "version", "n_lines").agg(F.countDistinct("pos").alias("n"))
     voters = ws.save(own.filter(F.col("n") * 2 <= F.col("n_lines")).select("sequence").distinct(), "voters")
     templates = ws.save(_often(hits.select("template", "sequence").distinct().join(voters.hint("merge"), "sequence"), min_docs), "templates")
@@ -150,8 +154,8 @@ with l as (
 t as (
   select *, nullif(regexp_replace(trim(regexp_replace(line, '[ \t\r\x0B\f]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g'), '') as template from l),
 q as (select doc_id, string_agg(template, chr(10) order by pos) as sequence, count(template) as n_lines from t group by doc_id),
-e as (select *, len(w) || ' ' || array_to_string(w[1:2], ' ') as leaf from (select template, string_split(template, ' ') as w from (select distinct template from t where template is not null)) where len(w) >= 5),
-i as (select leaf, template, w, unnest(range(3, len(w) + 1)) as i from e where leaf in (select leaf from e group by leaf having count(*) >= 5)),
+e as (select *, len(w) || ' ' || array_to_string(w[1:len(w) // 2], ' ') as leaf from (select template, string_split(template, ' ') as w from (select distinct template from t where template is not null)) where len(w) >= 5),
+i as (select leaf, template, w, unnest(range(len(w) // 2 + 1, len(w) + 1)) as i from e where leaf in (select leaf from e group by leaf having count(*) >= 5)),
 r as (select leaf, template, i, count(*) over (partition by leaf, i, array_to_string(w[:i - 1], ' '), array_to_string(w[i + 1:], ' ')) as n from i),
 a as (select template, list(i order by i) as places from r where n >= 5 group by template),
 g as (
