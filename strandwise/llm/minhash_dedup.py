@@ -2,22 +2,24 @@
 
 A document's set is its distinct 5-word shingles, or its whole word sequence if it has fewer words.
 Equal sets form one class.  A class has ``TREES * LEVELS`` minimum hashes; each tree sorts the classes
-by its own order of them.  A region of a tree is a run of classes that agree in the first ``LEVELS``
-hashes; inside, rows lie next to the rows with which they share the longest prefix.  Regions of up to
-``TILE`` rows are compared whole by two-bit sketches of all minimum hashes; longer ones in tiles that
-overlap by half, which is to say at the depth at which rows lie within half a tile of each other.
-
-No region emits all its pairs.  A tile joins the rows whose sketches may be links and emits a spanning
-forest of them; the forests' connected components are families, outside of which nothing can be
-linked.  A family of up to ``FAMILY`` classes is settled on the full sets by one task, which walks an
-inverted index from class to class and drops what is reached, so its copies are never paired with each
-other.  A larger family takes two rounds: first each class with its most similar partner and its hub (the row
-of a tile with most similar rows), confirmed on the full sets; then blocks of ``BLOCK`` classes, each
-pair of which is compared whole on the full sets, so that no link of a family depends on tiles.  Blocks
+by its own order of them, so that rows lie next to the rows with which they share the longest prefix.
+A region of a tree is a run of classes with a common prefix of ``LEVELS`` hashes.  The depth adapts to the
+region: one of up to ``TILE`` rows is compared whole, by two-bit sketches of all minimum hashes; in a longer
+one, candidates are the rows that lie within half a tile, which share a longer prefix the more rows there are.
+
+No region emits all its pairs.  A region joins the rows whose sketches may be links and emits a spanning
+forest of them; a region of over ``TILE`` rows, and one that may be cut by the edge of a task's range, is joined
+whole, so that neither loses a link.  The forests' connected components are families, outside of which nothing
+is linked.  A family of up to ``FAMILY`` classes and ``FAMILY_BYTES`` of text is settled on the full sets by one
+task, which walks an inverted index from class to class and drops what is reached, so its copies are never paired
+with each other.  A larger family gives the same result in two rounds: first each class with its most similar
+partner and its hub (the row of a tile with most similar rows) among its candidates, confirmed on the full sets;
+then blocks of ``BLOCK`` classes or ``BLOCK_BYTES``, each pair of which is compared whole on the full sets.  Blocks
 of one component aren't compared with each other; all else is quadratic in the family.
 
 A pair at similarity 0.75 shares a region of some tree but for 2.4e-8 of the cases, and passes the
-sketch but for about 1e-6.  There is no cap on partners.
+sketch but for about 1e-6.  There is no cap on partners.  A task holds the shingles of a few hundred texts or of
+``SLICE_BYTES``, whichever is less, and at least of one text, about 25 bytes for each of its bytes.
 
 Null or empty texts, and texts without words, have the empty set and are linked with nothing.  Rows
 with one text share a class; rows that repeat the smallest id of a component are all kept.  A null id
@@ -45,16 +47,21 @@ LEVELS = 3
 HASHES = TREES * LEVELS
 SKETCH_WORDS = HASHES // 32
 TILE = 8192
-FAMILY = 8192
-#: Rows of a family's block, pairs of which are compared whole.
-BLOCK = 4096
+#: Classes and bytes of text of a family that one task settles.
+FAMILY = 2048
+FAMILY_BYTES = 8 << 20
+#: Rows and bytes of a family's block, pairs of which are compared whole.
+BLOCK = 2048
+BLOCK_BYTES = 8 << 20
 HOT_ROWS = 32
 HOT_COLUMNS = 1024
 #: Sketches estimate 0.75 with a standard error of 0.053; pairs below this estimate aren't confirmed.
 LEAST_ESTIMATE = 0.48
 HUB_ESTIMATE = 0.7
 SIMILAR, OF = 75, 100
+#: Texts and bytes whose shingles are held at once.
 SLICE = 256
+SLICE_BYTES = 8 << 20
 #: Pairs of rows that are compared at once; a pair takes about 100 bytes.
 CELLS = 1 << 18
 
@@ -103,19 +110,33 @@ def signatures(d: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return d[first], sizes, cls, out
 
 
-SIGNED = "doc_id long, text_key long, n_shingles long, cls long, sig binary"
+def _slices(*texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows of at most SLICE rows and SLICE_BYTES of ``texts``, but of one row at least."""
+    start = size = 0
+    for k, row in enumerate(zip(*texts, strict=True)):
+        own = sum(map(len, row))
+        if k > start and (k - start >= SLICE or size + own > SLICE_BYTES):
+            yield start, k
+            start, size = k, 0
+        size += own
+    if texts[0]:
+        yield start, len(texts[0])
+
+
+SIGNED = "doc_id long, text_key long, n_shingles long, n_bytes long, cls long, sig binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
-        for at in range(0, big.num_rows, SLICE):
-            b = big.slice(at, SLICE)
-            texts = [t or b"" for t in b.column("text").to_pylist()]
+        every = [t or b"" for t in big.column("text").to_pylist()]
+        for at, to in _slices(every):
+            b, texts = big.slice(at, to - at), every[at:to]
             which, sizes, cls, sig = signatures(*shingle_sets(texts))
             n, c, s = [0] * len(texts), [None] * len(texts), [None] * len(texts)
             for k, w in enumerate(which):
                 n[w], c[w], s[w] = int(sizes[k]), int(cls[k]), sig[k].tobytes()
-            yield pa.record_batch([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.binary())], names=[x.split()[0] for x in SIGNED.split(", ")])
+            size = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.record_batch([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), size, pa.array(c, pa.int64()), pa.array(s, pa.binary())], names=[x.split()[0] for x in SIGNED.split(", ")])
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
@@ -201,78 +222,136 @@ def _tile_forest(sketch: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray
     return [rows], [root[rows]], [np.zeros(len(rows))], [np.zeros(len(rows), np.int64)]
 
 
-_COMPARE = {"forest": _tile_forest, "best": _tile_best}
+def _pairs(compare, cls: np.ndarray, label: np.ndarray, sketch: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch | None:
+    """PAIRS of the rows in each of the regions at ``starts`` to ``ends``."""
+    a, b, v, g = [], [], [], []
+    size = ends - starts
+    two = starts[size == 2]
+    if len(two):
+        e = estimates(sketch[two], sketch[two + 1])
+        fit = (e >= LEAST_ESTIMATE) & (label[two] != label[two + 1])
+        a.append(two[fit])
+        b.append(two[fit] + 1)
+        v.append(e[fit])
+        g.append(np.zeros(int(fit.sum()), np.int64))
+    for s, t in zip(starts[size > 2], ends[size > 2], strict=True):
+        own = label[s:t]
+        if (own == own[0]).all():
+            continue
+        for into, part in zip((a, b, v, g), compare(sketch[s:t], own), strict=True):
+            into += [x + s for x in part] if into is a or into is b else part
+    if not a or not sum(map(len, a)):
+        return None
+    return _records(cls[np.concatenate(a)], cls[np.concatenate(b)], np.concatenate(v), np.concatenate(g))
 
 
-def _scan(mode: str, tile: int):
-    """Pairs of sorted branches, holding at most a tile of a region."""
-    compare = _COMPARE[mode]
+def _records(a: np.ndarray, b: np.ndarray, estimate: np.ndarray, degree: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(a), pa.array(b), pa.array(estimate), pa.array(degree)], names=["a", "b", "estimate", "degree"])
 
-    def pairs(cls: np.ndarray, label: np.ndarray, sketch: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch | None:
-        a, b, v, g = [], [], [], []
-        size = ends - starts
-        two = starts[size == 2]
-        if len(two):
-            e = estimates(sketch[two], sketch[two + 1])
-            fit = (e >= LEAST_ESTIMATE) & (label[two] != label[two + 1])
-            a.append(two[fit])
-            b.append(two[fit] + 1)
-            v.append(e[fit])
-            g.append(np.zeros(int(fit.sum()), np.int64))
-        for s, t in zip(starts[size > 2], ends[size > 2], strict=True):
-            own = label[s:t]
-            if (own == own[0]).all():
-                continue
-            for into, part in zip((a, b, v, g), compare(sketch[s:t], own), strict=True):
-                into += [x + s for x in part] if into is a or into is b else part
-        if not a or not sum(map(len, a)):
-            return None
-        x, y = cls[np.concatenate(a)], cls[np.concatenate(b)]
-        frame = pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.concatenate(v)), pa.array(np.concatenate(g))], names=["a", "b", "estimate", "degree"])
-        return frame
+
+def _branches(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [*[batch.column(c).to_numpy() for c in ("key", "cls", "label")], np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)]
+
+
+def _neighbours(tile: int):
+    """Of sorted branches, each row's best partner and its hub within half a tile of its region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
         for batch in batches:
-            now = [batch.column(c).to_numpy() for c in ("key", "cls", "label")]
-            now.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH_WORDS))
-            key, cls, label, sketch = (np.concatenate([h, n]) for h, n in zip(held, now, strict=True)) if held else now
+            now = _branches(batch)
+            key, *rest = (np.concatenate([h, n]) for h, n in zip(held, now, strict=True)) if held else now
             if not len(key):
                 continue
             edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             starts, ends = edges[:-1], edges[1:]
-            if len(starts) > 1 and (got := pairs(cls, label, sketch, starts[:-1], ends[:-1])):
+            if len(starts) > 1 and (got := _pairs(_tile_best, *rest, starts[:-1], ends[:-1])):
                 yield got
             open_at = int(starts[-1])
             # An open region that is longer than a tile goes tile by tile, each with half of the one before.
             while len(key) - open_at > tile:
-                if got := pairs(cls, label, sketch, np.array([open_at]), np.array([open_at + tile])):
+                if got := _pairs(_tile_best, *rest, np.array([open_at]), np.array([open_at + tile])):
                     yield got
                 open_at += tile // 2
-            held = (key[open_at:], cls[open_at:], label[open_at:], sketch[open_at:])
-        if held and len(held[0]) > 1 and (got := pairs(*held[1:], np.array([0]), np.array([len(held[0])]))):
+            held = (key[open_at:], *[x[open_at:] for x in rest])
+        if held and len(held[0]) > 1 and (got := _pairs(_tile_best, *held[1:], np.array([0]), np.array([len(held[0])]))):
             yield got
 
     return run
 
 
-def candidates(nodes: DataFrame, mode: str, tile: int = TILE) -> DataFrame:
-    """Distinct pairs (a, b, estimate, degree) of ``nodes`` (cls, label, sig) of different labels.
+#: The degree of a record that names a region, in ``a``, and a row that all of its rows of one task are joined with.
+JOINED = -1
 
-    ``mode``: ``forest`` for spanning forests, ``best`` for each row's best partner and hub.
-    """
+
+def _forest(tile: int):
+    """Of sorted branches, spanning forests of the rows of each region that may be links.  A region of over ``tile``
+    rows, and the first and the last of a task, which other tasks may go on with, are joined whole and named."""
+
+    def joined(key: int, head: int, cls: np.ndarray) -> pa.RecordBatch:
+        zero = np.zeros(len(cls) + 1)
+        return _records(np.append(cls, key), np.full(len(cls) + 1, head), zero, np.append(np.zeros(len(cls), np.int64), JOINED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] | None = None
+        head, whole = None, True
+        for batch in batches:
+            now = _branches(batch)
+            key, cls, label, sketch = (np.concatenate([h, n]) for h, n in zip(held, now, strict=True)) if held else now
+            if not len(key):
+                continue
+            edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            starts, ends = edges[:-1], edges[1:]
+            head = int(cls[0]) if head is None else head
+            if len(starts) > 1:
+                if whole:
+                    yield joined(int(key[0]), head, cls[: ends[0]])
+                closed = slice(1 if whole else 0, -1)
+                if got := _pairs(_tile_forest, cls, label, sketch, starts[closed], ends[closed]):
+                    yield got
+                head, whole = int(cls[starts[-1]]), False
+            at = int(starts[-1])
+            whole = whole or len(key) - at > tile
+            if whole:
+                yield joined(int(key[-1]), head, cls[at:])
+                # The key is needed to know where the region ends.
+                at = len(key) - 1
+            held = (key[at:], cls[at:], label[at:], sketch[at:])
+        if held:
+            yield joined(int(held[0][-1]), head, held[1])
+
+    return run
+
+
+def _dealt(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("cls", "label", "sig").mapInArrow(lean(_grow), BRANCHES)
     # By range, so that a region that is most of a tree still spreads over tasks.
-    dealt = rows.repartitionByRange("key", "rest").sortWithinPartitions("key", "rest", "cls")
-    return dealt.mapInArrow(lean(_scan(mode, tile)), PAIRS).groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.max("degree").alias("degree"))
+    return rows.repartitionByRange("key", "rest").sortWithinPartitions("key", "rest", "cls")
+
+
+def forests(ws: Workspace, nodes: DataFrame, tile: int = TILE) -> DataFrame:
+    """Edges (u, v) whose components are the families of ``nodes`` (cls, label, sig)."""
+    got = ws.save(_dealt(nodes).mapInArrow(lean(_forest(tile)), PAIRS), "forest")
+    edges = got.filter(F.col("degree") != JOINED).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # A region that several tasks have is one.
+    named = got.filter(F.col("degree") == JOINED).select(F.col("a").alias("key"), F.col("b").alias("v")).distinct()
+    first = named.groupBy("key").agg(F.min("v").alias("u"))
+    return edges.unionByName(named.join(first, "key").select("u", "v")).filter("u <> v")
+
+
+def neighbours(nodes: DataFrame, tile: int = TILE) -> DataFrame:
+    """Distinct pairs (a, b, estimate, degree) of ``nodes`` (cls, label, sig) of different labels: each row's best
+    partner and its hub among those with the longest common prefixes."""
+    best = _dealt(nodes).mapInArrow(lean(_neighbours(tile)), PAIRS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "estimate", "degree")
+    return best.groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.max("degree").alias("degree"))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
-        for at in range(0, big.num_rows, SLICE):
-            p = big.slice(at, SLICE)
-            n = p.num_rows
-            d, h = shingle_sets([t or b"" for t in p.column("text_a").to_pylist() + p.column("text_b").to_pylist()])
+        left, right = ([t or b"" for t in big.column(c).to_pylist()] for c in ("text_a", "text_b"))
+        for at, to in _slices(left, right):
+            n = to - at
+            d, h = shingle_sets(left[at:to] + right[at:to])
             edges = np.searchsorted(d, np.arange(2 * n + 1))
             links = np.zeros(n, bool)
             for k in range(n):
@@ -281,6 +360,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 z = np.sort(np.concatenate([x, y]))
                 common = int((z[1:] == z[:-1]).sum())
                 links[k] = OF * common >= SIMILAR * (both - common)
+            p = big.slice(at, n)
             yield pa.record_batch([p.column("a"), p.column("b"), pa.array(links)], names=["a", "b", "link"])
 
 
@@ -352,11 +432,13 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     family: list[int] = []
     cls: list[int] = []
     texts: list[bytes] = []
+    size = 0
     for b in batches:
         for f, c, t in zip(b.column("family").to_pylist(), b.column("cls").to_pylist(), b.column("text").to_pylist(), strict=True):
-            if len(texts) >= SLICE and f != family[-1]:
+            size += len(t or b"")
+            if texts and f != family[-1] and (len(texts) >= SLICE or size > SLICE_BYTES):
                 yield settled(family, cls, texts)
-                family, cls, texts = [], [], []
+                family, cls, texts, size = [], [], [], len(t or b"")
             family.append(f)
             cls.append(c)
             texts.append(t or b"")
@@ -438,15 +520,17 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield got
 
 
-def cross_links(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
+def cross_links(labelled: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(u, v) that join all links of ``labelled`` (family, cls, label, text) between rows of a family that differ in label.
 
-    A family is dealt into blocks of about ``block`` rows, and each pair of blocks is compared whole on
-    the full sets.  Labels of more rows have blocks of their own, which aren't compared with each other.
+    A family is dealt into blocks of about ``block`` rows and ``block_bytes``, and each pair of blocks is compared whole on
+    the full sets.  Labels of more have blocks of their own, which aren't compared with each other.
     """
-    sizes = labelled.groupBy("family", "label").agg(F.count("*").alias("n"))
-    pooled = sizes.withColumn("own", F.col("n") > block).withColumn("pool", F.when(F.col("own"), F.col("label")))
-    pools = pooled.groupBy("family", "pool").agg(F.sum("n").alias("n"), F.count("*").alias("labels")).withColumn("blocks", F.ceil(F.col("n") / block))
+    # How much of a block a label fills.
+    fill = F.greatest(F.count("*") / F.lit(block), F.sum(F.octet_length("text")) / F.lit(block_bytes))
+    sizes = labelled.groupBy("family", "label").agg(fill.alias("n"))
+    pooled = sizes.withColumn("pool", F.when(F.col("n") > 1, F.col("label")))
+    pools = pooled.groupBy("family", "pool").agg(F.sum("n").alias("n"), F.count("*").alias("labels")).withColumn("blocks", F.ceil("n"))
     by_pool = Window.partitionBy("family").orderBy(F.col("pool").asc_nulls_first())
     placed = pools.withColumn("first", F.sum("blocks").over(by_pool) - F.col("blocks")).withColumn("total", F.sum("blocks").over(Window.partitionBy("family")))
     # Families of one label have all their links.
@@ -464,7 +548,7 @@ def cross_links(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
 def _pair_links(ws: Workspace, nodes: DataFrame, texts: DataFrame, tile: int, block: int) -> DataFrame:
     """(u, v) links of classes in families too large for a task."""
     ends = lambda rows: rows.filter("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    pairs = ws.save(candidates(nodes.withColumn("label", F.col("cls")), "best", tile), "pairs1")
+    pairs = ws.save(neighbours(nodes.withColumn("label", F.col("cls")), tile), "pairs1")
     tried = ws.save(confirm(chosen(pairs), texts), "tried1")
     roots = components(ws, ends(tried), "first")
     labelled = texts.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("family", "cls", F.coalesce("root", "cls").alias("label"), "text")
@@ -472,16 +556,16 @@ def _pair_links(ws: Workspace, nodes: DataFrame, texts: DataFrame, tile: int, bl
     return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
 
 
-def near_components(spark: SparkSession, docs: DataFrame, tile: int = TILE, family: int = FAMILY, block: int = BLOCK) -> DataFrame:
+def near_components(spark: SparkSession, docs: DataFrame, tile: int = TILE, family: int = FAMILY, block: int = BLOCK, family_bytes: int = FAMILY_BYTES) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text)."""
     ws = Workspace(spark, "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").cast("binary").alias("text"))
     signed = ws.save(rows.mapInArrow(lean(_sign), SIGNED), "signed")
     order = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
-    classes = signed.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(order.alias("least"), "text_key", "sig")).alias("r"))
-    nodes = ws.save(classes.select("cls", "r.least", "r.text_key", "r.sig"), "nodes")
+    classes = signed.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(order.alias("least"), "text_key", "n_bytes", "sig")).alias("r"))
+    nodes = ws.save(classes.select("cls", "r.least", "r.text_key", "r.n_bytes", "r.sig"), "nodes")
 
-    forest = ws.save(candidates(nodes.withColumn("label", F.col("cls")), "forest", tile).select(F.col("a").alias("u"), F.col("b").alias("v")), "forest")
+    forest = forests(ws, nodes.withColumn("label", F.col("cls")), tile)
     ws.release()
     roots = components(ws, forest, "families")
     members = ws.save(roots.select(F.col("node").alias("cls"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("cls"), F.col("root").alias("family")).distinct()), "members")
@@ -490,10 +574,11 @@ def near_components(spark: SparkSession, docs: DataFrame, tile: int = TILE, fami
     texts = rows.withColumn("__order", order).join(ids.hint("merge"), (F.col("__order") == F.col("__least")) & (F.col("text_key") == F.col("__key"))).select("family", "cls", "text")
     texts = ws.save(texts.dropDuplicates(["cls"]), "texts")
     ws.release()
-    large = members.groupBy("family").agg(F.count("*").alias("n")).filter(F.col("n") > family).select("family").persist()
+    of_family = some.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+    large = ws.save(of_family.filter((F.col("n") > family) | (F.col("n_bytes") > family_bytes)).select("family"), "large")
     small = texts.join(large, "family", "left_anti").repartition("family").sortWithinPartitions("family", "cls")
     links = ws.save(small.mapInArrow(lean(_settle), "u long, v long"), "links")
-    if large.count():
+    if not large.isEmpty():
         own = some.join(large, "family", "left_semi")
         links = links.unionByName(_pair_links(ws, own, texts.join(large, "family", "left_semi"), tile, block))
     roots = components(ws, links, "settled")
@@ -504,7 +589,6 @@ def near_components(spark: SparkSession, docs: DataFrame, tile: int = TILE, fami
     joined = signed.select("doc_id", "text_key", "n_shingles", "cls").join(of_class, "cls", "left")
     found = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("component"), F.lit(NULL_ID)))
     result = ws.save(joined.select("doc_id", "text_key", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept")), "result")
-    large.unpersist()
     ws.close("result")
     return result
 

@@ -26,10 +26,10 @@ def family_rows():
     return [*rows, (400, None), (401, ""), (402, " \n")]
 
 
-@pytest.mark.parametrize(("tile", "family"), [(8192, 8192), (16, 8192), (64, 3)])
-def test_against_all_pairs(spark, tile, family):
+@pytest.mark.parametrize(("tile", "family", "family_bytes"), [(8192, 8192, M.FAMILY_BYTES), (16, 8192, M.FAMILY_BYTES), (64, 3, M.FAMILY_BYTES), (64, 8192, 3000)])
+def test_against_all_pairs(spark, tile, family, family_bytes):
     rows = family_rows()
-    got = M.near_components(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tile, family).collect()
+    got = M.near_components(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tile, family, family_bytes=family_bytes).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
@@ -114,3 +114,38 @@ def test_block_links_equal_pairs():
     got = np.arange(120)
     got[rows] = roots
     assert got.tolist() == want.tolist() and 1 < len(set(want)) < 120
+
+
+def test_slices_are_bounded_in_bytes():
+    texts = [b"x" * n for n in (5, M.SLICE_BYTES + 1, 3, M.SLICE_BYTES - 1, 2, *[0] * 600)]
+    got = list(M._slices(texts))
+    assert [a for a, _ in got] == [0, 1, 2, 3, 4, 4 + M.SLICE, 4 + 2 * M.SLICE] and got[-1][1] == len(texts)
+    assert [b for _, b in got[:-1]] == [a for a, _ in got[1:]]
+    assert list(M._slices([])) == []
+
+
+@pytest.mark.parametrize("tile", [4, 1000])
+def test_regions_over_several_tasks_are_joined(tile):
+    """Rows of one region that tasks hold parts of lie in one component, whatever the tile."""
+    n = 40
+    sketch = np.zeros((n, M.SKETCH_WORDS), np.uint64)
+    cls, key = np.arange(n), np.repeat([1, 2, 2, 2], 10)
+    edges = []
+    for rows in (slice(0, 17), slice(17, 25), slice(25, 40)):
+        parts = [slice(rows.start, rows.start + 3), slice(rows.start + 3, rows.stop)]
+        batches = [M.pa.record_batch([M.pa.array(key[r]), M.pa.array(cls[r]), M.pa.array(cls[r]), M.pa.array([x.tobytes() for x in sketch[r]], M.pa.binary())], names=["key", "cls", "label", "sketch"]) for r in parts]
+        for b in M._forest(tile)(iter(batches)):
+            edges += [(x["a"], x["b"], x["degree"]) for x in b.to_pylist()]
+    up = list(range(n))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    named = {}
+    for a, b, d in edges:
+        a = named.setdefault(a, b) if d == M.JOINED else a
+        p, q = sorted((root(a), root(b)))
+        up[q] = p
+    assert [root(i) for i in range(n)] == [0] * 10 + [10] * 30
