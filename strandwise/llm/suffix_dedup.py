@@ -14,7 +14,8 @@ Suffixes need to be told apart only by their first ``LENGTH`` bytes, so the recu
    whose smallest document is smaller than the one at hand marks its 50 bytes.
 
 All sorts exchange distinct keys of chunks (see ``blocks``).  Names may collide without harm, since
-they only admit positions; prefixes are compared by 64-bit fingerprints.  Copies of a whole text are
+they only admit positions; prefixes are compared by 96 bits of two independent hashes, so that of 10^13 that
+are compared, two different ones are taken for equal with a chance of under 1 in 1000.  Copies of a whole text are
 found by digest first and never sampled.
 
 Null text is empty; a null id counts as larger than all others; rows that repeat id and text are
@@ -231,7 +232,7 @@ def _prefixes(row: dict) -> tuple[np.ndarray, ...]:
     ids = np.array(row["ids"], np.int64)[np.array(row["docs"], np.int64)]
     segment = np.repeat(np.arange(len(sizes)), sizes - LENGTH + 1)
     at = np.arange(len(segment)) + segment * (LENGTH - 1)
-    h, check = blocks.gram_hashes(data, LENGTH)[at], blocks.gram_hashes(data, LENGTH, second=True)[at]
+    h, check = blocks.gram_hashes(data, LENGTH)[at], (blocks.gram_hashes(data, LENGTH, second=True)[at] >> U64(32)).astype("<u4")
     owner = ids[segment]
     order, new = PREFIXES.order(h, (check,))
     h, check, owner = h[order], check[order], owner[order]
@@ -254,15 +255,15 @@ def _unpack_ids(blob: bytes) -> np.ndarray:
 class _Smallest(blocks.Reduction):
     """The smallest document that has a prefix; a sender is told whether that is smaller than its own.
 
-    Keys of one first hash are told apart by the second, which is a value's first entry."""
+    Keys of one first hash are told apart by 32 bits of the second, which are a value's first entry."""
 
     def pack(self, values: tuple[np.ndarray, ...]) -> bytes:
-        check = np.ascontiguousarray(values[0].astype("<u8")).tobytes()
+        check = np.ascontiguousarray(values[0]).tobytes()
         return len(check).to_bytes(8, "little") + check + _pack_ids(*np.unique(values[1], return_inverse=True))
 
     def unpack(self, blob: bytes) -> tuple[np.ndarray, ...]:
         size = 8 + int.from_bytes(blob[:8], "little")
-        return np.frombuffer(blob[8:size], "<u8"), _unpack_ids(blob[size:])
+        return np.frombuffer(blob[8:size], "<u4"), _unpack_ids(blob[size:])
 
     def order(self, keys: np.ndarray, values: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys, kind="stable")
