@@ -1,14 +1,17 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Text is lower-cased, every character that is no letter becomes a space, and the 1- to 3-grams of
-code points are hashed to 2**16 features.  Counts come from at most ``rows_per_language`` labelled
-texts of each language, chosen by a hash of their id (a documented bound; every other step covers
-all rows).  The log-probability matrix (features x languages, float32, 256 KB a language) is
-broadcast; whole texts are scored in numpy, in blocks of bounded size.
+code points are hashed to 2**16 features.  Two documented bounds hold for learning, and every other step covers
+all rows: the ``languages`` commonest values of ``lang`` are learned (of equally common ones those that sort
+first), and counts come from about ``rows_per_language`` distinct labelled texts of each at most, chosen by a hash
+of the text.  Priors count all labelled rows of a learned value.  The log-probability matrix (features x languages,
+float32, 256 KB a language, 50 MB at most) is broadcast; whole texts are scored in numpy, in blocks of bounded size.
 
 Texts that are null, or have no letter, are ``und`` with score 0, as is every text if nothing could
-be learned.  Ties go to the language that sorts first.  Null ids are never held out.  Other columns
-are ignored.  Empty tables give empty results.
+be learned.  Ties go to the language that sorts first.  Null ids are never held out.  Rows that repeat count in
+the priors, and their text once in the counts.  Other columns, whatever their names, are ignored, or kept by
+:func:`accepted`.  Empty tables give empty results.  A text of any length is scored by one task, which holds about
+40 bytes for each of its characters.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from strandwise.llm.workers import lean
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
 ROWS_PER_LANGUAGE = 5000
+LANGUAGES = 200
 BLOCK_CHARS = 1 << 20
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -115,15 +119,25 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(list(sums)), pa.array([x.astype("<u4").tobytes() for x in sums.values()], pa.binary()), pa.array(list(rows.values()), pa.int64())], names=["lang", "counts", "rows"])
 
 
-def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log-probabilities (language, feature), log priors) from (key, text, lang)."""
+def picked(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[DataFrame, dict[str, int]]:
+    """The distinct (text, lang) to learn from, and the labelled rows of each language that is learned."""
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    totals = {r["lang"]: r["n"] for r in most.collect()}
     if not totals:
-        return [], np.zeros((0, FEATURES), np.float32), np.zeros(0)
+        return known.select("text", "lang"), totals
     share = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
-    picked = F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit(""))), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30)
-    parts = known.filter(picked).select("text", "lang").repartition(12).mapInArrow(lean(_count_batches), "lang string, counts binary, rows long").collect()
+    # Null where the language isn't learned.
+    lot = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * float(1 << 30)
+    return known.filter(lot).select("text", "lang").distinct(), totals
+
+
+def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, log-probabilities (language, feature), log priors) from (text, lang)."""
+    rows, totals = picked(labelled, rows_per_language, languages)
+    if not totals:
+        return [], np.zeros((0, FEATURES), np.float32), np.zeros(0)
+    parts = rows.repartition(12).mapInArrow(lean(_count_batches), "lang string, counts binary, rows long").collect()
     langs = sorted({p["lang"] for p in parts})
     if not langs:
         return [], np.zeros((0, FEATURES), np.float32), np.zeros(0)
@@ -169,13 +183,13 @@ def held_out(id_col: str = "doc_id"):
 def language_id(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for ``docs`` (doc_id, text, lang); learns from rows not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = fit(rows.filter(~held_out()).select(F.col("doc_id").alias("key"), "text", "lang"), rows_per_language)
+    model = fit(rows.filter(~held_out()).select("text", "lang"), rows_per_language)
     return predict(rows.select("doc_id", held_out().alias("held_out"), "text"), model, ["doc_id", "held_out"])
 
 
 def accepted(docs: DataFrame, least_score: float = 0.5, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, ...) whose language is known with at least ``least_score``."""
-    model = fit(docs.filter(~held_out()).select(F.col("doc_id").alias("key"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), rows_per_language)
+    model = fit(docs.filter(~held_out()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), rows_per_language)
     rows = predict(docs, model, docs.columns, ("__lang", "__score"))
     return rows.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score)).select(*docs.columns)
 

@@ -3,11 +3,16 @@
 Documents are tokenized and closed with an end id; only those longer than a sequence are cut, into
 full pieces and a rest.  Pieces go to groups of bounded size by a hash; in a group, in order of
 decreasing length, each is put where the sum over gaps g of (open bins with gap g)**2 becomes
-smallest.  Bins left with a gap of over an eighth are opened again and their pieces packed across
-groups, as long as there is more than one group.  Full pieces are sequences of their own and never move.
-
-Null text is the empty text: its one piece is the end id.  Rows that repeat an id stay separate
-pieces.  Empty tables give empty results.  Other columns are ignored.
+smallest, the least gap among equals.  Bins left with a gap of over an eighth are opened again and their
+pieces packed across groups, as long as there is more than one group and the round before left at most half
+of its pieces in such bins: groups are random samples of one distribution of lengths, so where most bins
+stay open for want of short pieces, another round deals the same lengths again and fills no more.  Full
+pieces are sequences of their own and never move.
+
+Null text is the empty text: its one piece is the end id.  Rows that repeat an id, and identical rows, stay
+separate pieces, and go to groups of their own draw.  Pieces of one length are placed in the order of id, piece
+and digest.  Empty tables give empty results.  Other columns, whatever their names, are ignored.  A text of any
+length is cut by one task, which holds its ids, 4 bytes each.
 """
 
 from __future__ import annotations
@@ -199,32 +204,37 @@ def sum_of_squares(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray,
     return bins, offsets
 
 
-PACKED = PIECES + ", sequence_id long, offset long, full boolean"
-_COLUMNS = [x.split()[0] for x in PIECES.split(", ")]
+PACKED = PIECES + ", row long, sequence_id long, offset long, full boolean"
+#: Numbers of sequences that a group has.
+GROUP_BITS = 24
+_COLUMNS = [*[x.split()[0] for x in PIECES.split(", ")], "row"]
 
 
 def _pack_group(level: int, limit: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32", "row"], ascending=[False, True, True, True, True], kind="stable")
         lengths = rows.length.to_numpy()
         bins, offsets = sum_of_squares(lengths, limit)
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        base = (level << 58) + (int(rows["group"].iloc[0]) << 20)
+        if len(fill) > 1 << GROUP_BITS:
+            raise ValueError(f"a group of {len(rows)} pieces has no numbers left")
+        base = (level << 58) + (int(rows["group"].iloc[0]) << GROUP_BITS)
         return rows[_COLUMNS].assign(doc_id=rows.doc_id.astype("Int64"), sequence_id=base + bins, offset=offsets, full=fill[bins] >= limit - limit // NEARLY_FULL)
 
     return run
 
 
 def pack(spark: SparkSession, pieces: DataFrame, ws: Workspace, limit: int = LIMIT, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """``pieces`` with sequence_id and offset."""
+    """``pieces`` (a written table) with sequence_id and offset."""
+    pieces = pieces.withColumn("row", F.monotonically_increasing_id())
     whole = pieces.filter(F.col("length") == limit)
-    done = [whole.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    done = [whole.select(*_COLUMNS, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     left, level = pieces.filter(F.col("length") < limit), 1
     n = left.count()
     while n:
         groups = math.ceil(n / group_pieces)
         # The level salts the hash, so that a later round brings other pieces together.
-        keyed = left.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(groups)))
+        keyed = left.withColumn("group", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)))
         packed = ws.save(keyed.groupBy("group").applyInPandas(_pack_group(level, limit), PACKED), f"level{level}")
         over = packed.filter(~F.col("full")).count()
         last = groups == 1 or over > 0.5 * n
@@ -235,7 +245,7 @@ def pack(spark: SparkSession, pieces: DataFrame, ws: Workspace, limit: int = LIM
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out.drop("row")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:

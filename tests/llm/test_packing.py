@@ -70,10 +70,56 @@ def test_few_sequences():
         assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and sum(s[-1]) <= 4096
 
 
-def test_sum_of_squares_rule():
-    # Open bins with gaps 5, 5 and 4 (of 10): 1 goes where squares grow least, into one of the pair.
-    bins, _ = P.sum_of_squares(np.array([6, 5, 5, 1]), 10)
-    assert bins[3] in (bins[1], bins[2]) or bins[1] == bins[2]
+def plain_rule(lengths, limit):
+    """Every open gap tried for each piece: (gap chosen or None for a new bin) in the order of placing."""
+    gaps, out = [], []
+    for size in sorted(lengths, reverse=True):
+        tried = []
+        for g in sorted({g for g in gaps if g >= size}):
+            after = list(gaps)
+            after.remove(g)
+            if g > size:
+                after.append(g - size)
+            tried.append((sum(after.count(x) ** 2 for x in set(after)), g))
+        if tried:
+            _, g = min(tried)
+            gaps.remove(g)
+            if g > size:
+                gaps.append(g - size)
+            out.append(g)
+        else:
+            gaps += [limit - size] * (limit > size)
+            out.append(None)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_sum_of_squares_rule(seed):
+    rng = np.random.default_rng(seed)
+    limit = 30
+    lengths = rng.integers(1, limit, 120) if seed % 2 else np.minimum(limit - 1, rng.geometric(0.15, 120))
+    bins, offsets = P.sum_of_squares(lengths, limit)
+    order = np.argsort(-lengths, kind="stable")
+    seen, got = set(), []
+    for i in order:
+        got.append(None if bins[i] not in seen else limit - offsets[i])
+        seen.add(bins[i])
+    assert got == plain_rule(lengths.tolist(), limit)
+    assert any(g is not None and g > s for g, s in zip(got, sorted(lengths, reverse=True)))
+
+
+def test_squares_decide():
+    # Gaps 4, 3 and 3 are open; a 2 goes into one of the two equal gaps, though 4 has room as well.
+    bins, offsets = P.sum_of_squares(np.array([7, 7, 6, 2]), 10)
+    assert offsets[3] == 7
+
+
+def test_identical_rows_spread(spark, tokenizer):
+    docs = spark.createDataFrame([(None, "one two")] * 400, "doc_id long, text string").repartition(4)
+    rows = P.best_fit_packing(spark, docs, limit=64, group_pieces=20).collect()
+    ids = [*tokenizer.encode("one two", add_special_tokens=False).ids, 1]
+    n = check(rows, {None: [ids] * 400}, 64)
+    assert len(rows) == 400 and n <= 400 * len(ids) / 64 * 1.2 + 3
 
 
 def test_empty(spark, no_docs):
