@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwise.workspace import Workspace
+
 
 def top(rows: DataFrame, by: list[str], order: list[Column], k: int, into: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group in ``order``, numbered from 1.
@@ -24,18 +25,16 @@ def first_by(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 def dense_ids(rows: DataFrame, order: list[str], into: str) -> DataFrame:
     """Numbers rows 0, 1, ... in ``order`` without sending all rows to one task.
 
-    Rows are range-partitioned and sorted; a partition's first number is the count of the rows before
-    it, so one count per partition is all that reaches the driver.  The dealt rows are persisted: the
-    bounds of the ranges come from a sample, and both passes must see the same ones.  ``order`` has to
-    tell all rows apart.
+    Rows are dealt by range, sorted and written once with their place in their task; a task's first number is
+    the count of the rows before it, one row a task.  ``order`` has to tell all rows apart.
     """
-    dealt = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    counts = sorted((r["__part"], r["count"]) for r in dealt.groupBy("__part").count().collect())
-    if not counts:
-        return rows.withColumn(into, F.lit(None).cast("long"))
-    starts, before = [], 0
-    for part, n in counts:
-        starts += [F.lit(part), F.lit(before).cast("long")]
-        before += n
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)).cast("long") - 1
-    return dealt.withColumn(into, F.create_map(*starts)[F.col("__part")] + place).drop("__part")
+    ws = Workspace(rows.sparkSession, "ids")
+    dealt = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = ws.save(dealt, "dealt").withColumn("__part", F.shiftright("__at", 33))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    # As many rows as tasks.
+    numbered = dealt.join(F.broadcast(starts), "__part")
+    place = F.col("__at") - F.shiftleft("__part", 33)
+    return numbered.withColumn(into, (F.col("__before") + place).cast("long")).drop("__part", "__at", "__n", "__before")

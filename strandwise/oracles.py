@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandwise.queries import ASIA_PLAN, ASIA_QUESTION, QUERY_TEXTS, SHAPES, SURFACES
+from strandwise.queries import ASIA_PLAN, ASIA_QUESTION, QUERY_TEXTS, SETTINGS, SHAPES, SURFACES, TIES
 
 _PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
@@ -63,8 +63,8 @@ tri as (
 ends as (select h as eid, triple_id from tri union select t, triple_id from tri)"""
 
 
-def _retrieve(p: str) -> str:
-    """CTEs of one pass over {p}task(qid, qi, inst, question, head, tail, variants) and {p}anchor(qid, qi, inst, eid)."""
+def _retrieve(p: str, limit: float = TIES.neff_threshold) -> str:
+    """CTEs of one pass, with the threshold ``limit``, over {p}task(qid, qi, inst, question, head, tail, variants) and {p}anchor(qid, qi, inst, eid)."""
     own = f"case when len(variants) > 0 then '(' || array_to_string(variants[1:3], ' | ') || ')' else '' end"
     asked = f"trim('question: ' || trim(question) || '  UnknownTriple: ' || concat_ws(' ', nullif(head, ''), nullif({own}, ''), nullif(tail, '')))"
     return f"""
@@ -81,7 +81,7 @@ def _retrieve(p: str) -> str:
 {p}share as (
   select qid, qi, inst, sum(w) as z, sum(w * w) as s2 from (
     select *, case when min(logit) over g <= 0 then logit - min(logit) over g + 1e-6 else logit end as w from {p}sel window g as (partition by qid, qi, inst)) group by all),
-{p}state as (select k.qid, k.qi, k.inst, coalesce(z * z / s2, cast('infinity' as double)) as neff, case when z * z / s2 <= 3 + 1e-9 then 'resolved' else 'unresolved' end as status from {p}task k left join {p}share using (qid, qi, inst)),
+{p}state as (select k.qid, k.qi, k.inst, coalesce(z * z / s2, cast('infinity' as double)) as neff, case when z * z / s2 <= {limit!r} then 'resolved' else 'unresolved' end as status from {p}task k left join {p}share using (qid, qi, inst)),
 {p}across as (
   select s.*, case when a.eid is not null and b.eid is null then s.t when b.eid is not null and a.eid is null then s.h end as other
   from {p}sel s left join {p}anchor a on (a.qid, a.qi, a.inst, a.eid) = (s.qid, s.qi, s.inst, s.h) left join {p}anchor b on (b.qid, b.qi, b.inst, b.eid) = (s.qid, s.qi, s.inst, s.t)),
@@ -104,11 +104,11 @@ def _agree(sets: str, p: str) -> str:
 _NATIONS = f"""
 with {KG},
 task as (
-  select n_name as qid, qi, '' as inst, 'Who is in ' || n_name as question, '?x' as head, n_name as tail,
+  select n_name as qid, qi, '' as inst, concat_ws(' ', 'Who is in', n_name, 'as', case when n_nationkey % 3 > 0 then c_name end) as question, '?x' as head, n_name as tail,
     case when qi = 0 then ['lives in nation'] when n_nationkey % 2 = 1 then ['based in nation'] else ['lives in nation', 'resident of nation'] end as variants
-  from nation, (values (0), (1)) v(qi)),
+  from nation left join (select c_nationkey, max(c_name) as c_name from customer group by 1) on c_nationkey = n_nationkey, (values (0), (1)) v(qi)),
 anchor as (select qid, qi, inst, id as eid from task join ent on nkey = {_key("qid")}),
-{_retrieve("")},
+{_retrieve("", SETTINGS.neff_threshold)},
 {_agree("induced", "")}"""
 
 _ASIA = f"""
@@ -129,10 +129,11 @@ _CONTAINED = f"contained as (select doc_id, item_id from documents join benchmar
 _RECOVERY = f"""
 item as (select row_number() over (order by item_id) - 1 as n, item_id, {_squeeze("text")} as q from benchmark),
 line as (
-  select doc_id, doc_id % (select count(*) from item) as n, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
-unit as (select n, doc_id, row_number() over (partition by doc_id order by i) - 1 as sent_idx, trim(s, ' ' || chr(9) || chr(10) || chr(13)) as sent from line where trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
-ctx as (select *, 'd' || doc_id || ' ' || sent as body from unit),
-sim as (select item.n, doc_id, sent_idx, body, q, {_lexical("q", "body")} as score from item join ctx using (n)),
+  select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+unit as (select doc_id, row_number() over (partition by doc_id order by i) - 1 as sent_idx, trim(s, ' ' || chr(9) || chr(10) || chr(13)) as sent from line where trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+ctx as (select *, {_tokens("body")} as bt from (select *, 'd' || doc_id || ' ' || sent as body from unit)),
+ask as (select *, {_tokens("q")} as qt from item),
+sim as (select n, doc_id, sent_idx, body, q, len(list_intersect(qt, bt)) / sqrt(len(qt) * len(bt)) as score from ask, ctx),
 loc as (select *, row_number() over (partition by n, doc_id order by score desc, sent_idx) as lr from sim qualify lr <= 80),
 over20 as (select *, row_number() over (partition by n order by score desc, doc_id, lr) as cr from loc qualify cr <= 20),
 fin as (select *, {_lexical("'constraint: ' || q", "body")} as logit from over20),
@@ -194,7 +195,7 @@ SQL = {
     "rerank_select": f"{_NATIONS} select qid, qi, triple_id, pos, sel, round(relation_score, 6) as relation_score, round(logit, 6) as logit from sel",
     "neff": f"{_NATIONS} select qid, qi, round(neff, 6) as neff, status from state",
     "bindings_consolidated": f"{_NATIONS} select qid, var, eid, in_binding, in_intersection, n_sets, method from agree",
-    "binding_filter": f"{_NATIONS} select qid, qi, triple_id from across join var using (qid, qi, inst) join agree on (agree.qid, agree.var, agree.eid) = (across.qid, var.var, across.other) where in_binding and other % 2 = 0",
+    "binding_filter": f"{_NATIONS} select qid, qi, triple_id from across join var using (qid, qi, inst) join agree on (agree.qid, agree.var, agree.eid) = (across.qid, var.var, across.other) where in_binding",
     "propagation": f"{_ASIA} select var, method, row_number() over (partition by var order by eid) - 1 as place, eid from aagree where in_binding",
     "evidence_assembly": f"""{_ASIA},
       sup as (

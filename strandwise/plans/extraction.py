@@ -14,6 +14,7 @@ from strandwise.operators import prompts
 from strandwise.operators.chunking import chunk_pages
 from strandwise.operators.kg import dedupe_mentions, link_triples, resolve_entities, title_entities, title_triples
 from strandwise.sources.llm_client import Client, ask
+from strandwise.workspace import Workspace
 
 _OBJECT = "struct<entities: array<string>, named_entities: array<string>, triples: array<string>>"
 
@@ -123,13 +124,22 @@ def unprocessed(pages: DataFrame, done: DataFrame | None) -> DataFrame:
 def extract_incrementally(spark: SparkSession, pages: DataFrame, make_client: Callable[[], Client], settings: Settings, path: str) -> DataFrame:
     """Append the answers of pages that ``path`` doesn't have yet, and return all of them.
 
-    A run that fails commits nothing, so titles are either wholly there or asked again.
+    A title is written if the model answered for all of its chunks, and asked again by the next run if not.
     """
-    done = _existing(spark, path)
-    extract(unprocessed(pages, done), make_client, settings).write.mode("append").parquet(path)
+    append_answered(spark, unprocessed(pages, _existing(spark, path)), make_client, settings, path)
     return spark.read.parquet(path)
 
 
+def append_answered(spark: SparkSession, pages: DataFrame, make_client: Callable[[], Client], settings: Settings, path: str) -> None:
+    """Append the answers for ``pages`` to ``path``, without titles of which some chunk got none."""
+    ws = Workspace(spark, "answers")
+    # Written first, since each question is asked once.
+    got = ws.save(extract(pages, make_client, settings), "asked")
+    failed = got.filter("response is null").select("title").distinct()
+    got.join(failed, "title", "left_anti").write.mode("append").parquet(path)
+    ws.close()
+
+
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None

@@ -48,15 +48,14 @@ def run_retrieval(spark: SparkSession, plan_path: str, data_path: str, kg_path:
     J.write_lines(spark.read.parquet(f"{out}/stage1"), f"{out}/stage1_json")
     evidences, facts = stage2.run(done, graph, texts_of(read_examples(spark, data_path, settings), settings), settings, relation, reranker)
     J.write_table(stage2.assemble(items, done, evidences, facts), f"{out}/stage2")
-    J.write_lines(spark.read.parquet(f"{out}/stage2"), f"{out}/stage2_json")
-    return spark.read.parquet(f"{out}/stage1"), spark.read.parquet(f"{out}/stage2")
+    second = spark.read.parquet(f"{out}/stage2").drop("pos")
+    J.write_lines(second, f"{out}/stage2_json")
+    return spark.read.parquet(f"{out}/stage1"), second
 
 
 def run_evaluation(spark: SparkSession, stage2_path: str, data_path: str, out: str, make_client: Callable[[], Client], settings: Settings) -> DataFrame:
     """Answers and scores of a written stage 2; returns the row of totals."""
-    items = spark.read.parquet(stage2_path).withColumnRenamed("id", "qid")
-    if settings.num_samples is not None:
-        items = items.limit(settings.num_samples)
+    items = J.take(spark.read.parquet(stage2_path).withColumnRenamed("id", "qid"), settings.num_samples).drop("pos")
     evidences = items.select("qid", F.explode("triples_evidence").alias("te")).select("qid", F.col("te.query_triple_index").alias("qi"), F.posexplode("te.candidate_evidences").alias("place", "e")).select("qid", "qi", "place", "e.*")
     examples = read_examples(spark, data_path, settings)
     # Answers cost model calls, so they are written before anything reads them.

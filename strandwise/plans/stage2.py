@@ -48,7 +48,7 @@ def run(done: S1.Stage1, graph: Graph, texts: DataFrame, settings: Settings, sco
 
 
 def assemble(items: DataFrame, done: S1.Stage1, evidences: DataFrame, facts: DataFrame) -> DataFrame:
-    """One nested row per question: id, question, ground_truth_answer, triples_evidence."""
+    """One nested row per question: id, question, ground_truth_answer, triples_evidence, and ``pos`` if ``items`` have it."""
     pack = lambda rows, item, into: rows.groupBy("qid", "qi").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", item.alias("x")))), lambda s: s["x"]).alias(into))
     texts = pack(evidences, F.struct(*EVIDENCE), "candidate_evidences")
     triples = pack(facts, F.struct(F.col("triple_id").alias("kg_triple_id"), "head", "relation", "tail"), "kg_triples")
@@ -62,4 +62,5 @@ def assemble(items: DataFrame, done: S1.Stage1, evidences: DataFrame, facts: Dat
     )
     listed = per.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("qi", item.alias("x")))), lambda s: s["x"]).alias("triples_evidence"))
     out = items.join(listed, "qid", "left")
-    return out.select(F.col("qid").alias("id"), "question", "ground_truth_answer", F.coalesce("triples_evidence", F.array()).alias("triples_evidence"))
+    place = ["pos"] if "pos" in items.columns else []
+    return out.select(F.col("qid").alias("id"), "question", "ground_truth_answer", F.coalesce("triples_evidence", F.array()).alias("triples_evidence"), *place)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strandwise.config import Settings
 from strandwise.operators.rank import first_by
-from strandwise.plans.extraction import _existing, extract, unprocessed
+from strandwise.plans.extraction import _existing, append_answered, unprocessed
 from strandwise.sources.llm_client import Client
 
 
@@ -18,13 +18,13 @@ def ingest_pages(pages: DataFrame, make_client: Callable[[], Client], settings:
     """Append parsed answers of a stream of ``pages(title, text, ord)`` to ``path``.
 
     A title that ``path`` has is skipped, so a batch that runs again after a failure, and titles that come again,
-    add nothing; build the graph from ``path`` with ``extraction.build_graph``.
+    add nothing; a title of which the model left a chunk unanswered isn't added, and asked when it comes again; build the graph from ``path`` with ``extraction.build_graph``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         once = first_by(batch, ["title"], [F.col("ord")])
-        extract(unprocessed(once, _existing(spark, path)), make_client, settings).write.mode("append").parquet(path)
+        append_answered(spark, unprocessed(once, _existing(spark, path)), make_client, settings, path)
 
     writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -15,9 +16,11 @@ CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; one of our own only where the setting is absent."""
+    """Folder named by ``spark.checkpoint.dir``; one of our own only where the setting is absent and all runs in one process."""
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandwise-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
