@@ -19,7 +19,7 @@ of one component aren't compared with each other; all else is quadratic in the f
 
 A pair at similarity 0.75 shares a region of some tree but for 2.4e-8 of the cases, and passes the
 sketch but for about 1e-6.  There is no cap on partners.  A task holds the shingles of a few hundred texts or of
-``SLICE_BYTES``, whichever is less, and at least of one text, about 25 bytes for each of its bytes.
+``SLICE_BYTES``, whichever is less, and at least of one text, about 45 bytes for each of its bytes.
 
 Null or empty texts, and texts without words, have the empty set and are linked with nothing.  Rows
 with one text share a class; rows that repeat the smallest id of a component are all kept.  A null id
@@ -49,10 +49,10 @@ SKETCH_WORDS = HASHES // 32
 TILE = 8192
 #: Classes and bytes of text of a family that one task settles.
 FAMILY = 2048
-FAMILY_BYTES = 8 << 20
+FAMILY_BYTES = 4 << 20
 #: Rows and bytes of a family's block, pairs of which are compared whole.
 BLOCK = 2048
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 HOT_ROWS = 32
 HOT_COLUMNS = 1024
 #: Sketches estimate 0.75 with a standard error of 0.053; pairs below this estimate aren't confirmed.
@@ -61,7 +61,7 @@ HUB_ESTIMATE = 0.7
 SIMILAR, OF = 75, 100
 #: Texts and bytes whose shingles are held at once.
 SLICE = 256
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Pairs of rows that are compared at once; a pair takes about 100 bytes.
 CELLS = 1 << 18
 
