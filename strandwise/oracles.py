@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandwise import evidence_queries, file_queries
 from strandwise.queries import ASIA_PLAN, ASIA_QUESTION, QUERY_TEXTS, SETTINGS, SHAPES, SURFACES, TIES
 
 _PUNCTUATION = r"[!-/:-@\[-`{-~]"
@@ -238,15 +239,10 @@ SQL = {
       select doc_id, chunk_idx, length(held) as n_chars, md5(held) as digest from walk qualify row_number() over (partition by doc_id, chunk_idx order by k desc) = 1""",
     "em_f1": f"with {_PAIRS} select conv_id, turn, em, round(f1, 6) as f1 from scored",
     "answer_summary": f"with {_PAIRS} select count(*) as n, round(avg(em), 6) as em, round(avg(round(f1, 6)), 5) as f1 from scored",
-    "json_alias_ingest": """with p as (select event_id as pos, 'user' || user_id as head, event_type as relation, 'item' || json_extract_string(props, '$.k') as tail from events where json_extract_string(props, '$.k') is not null),
-      e as (select name, row_number() over (order by min(pos * 2 + side)) - 1 as id from (select pos, 0 as side, head as name from p union all select pos, 1, tail from p) group by name)
-      select pos, a.id as head_id, relation, b.id as tail_id from p join e a on a.name = head join e b on b.name = tail""",
-    "page_merge": """with d as (select source as title, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as text, min(doc_id) as pos from documents group by 1, 2)
-      select title, count(*) as n, md5(string_agg(text, chr(10) || chr(10) order by pos)) as digest from d where text <> '' group by title""",
     "entity_types": """select p_type, case when p_type in ('PERSON', 'ORG', 'LOC', 'EVENT', 'OTHER') then p_type when p_type like '%PER%' then 'PERSON' when p_type like '%GPE%' then 'LOC'
       when p_type like '%ORG%' or p_type like '%COMP%' then 'ORG' when p_type like '%LOC%' or p_type like '%PLACE%' or p_type like '%CITY%' or p_type like '%COUNTRY%' then 'LOC'
       when p_type like '%EVENT%' then 'EVENT' else 'OTHER' end as type, count(*) as n from part group by p_type""",
     "similar_names": f"""with a as (select distinct string_split(p_name, ' ')[1] || ' bolt' as asked from part), b as (select distinct p_name from part),
       p as (select asked, p_name, round({_lexical("asked", "p_name")}, 6) as score from a, b where len(list_intersect({_tokens("asked")}, {_tokens("p_name")})) > 0)
       select asked, p_name, score, row_number() over (partition by asked order by score desc, p_name) as rank from p qualify rank <= 3""",
-}
+} | file_queries.sql(KG, _key("name")) | evidence_queries.sql(_plain, _lexical, _squeeze, _answer, _token_list, _once)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandwise import evidence_queries, file_queries
 from strandwise.config import Settings
 from strandwise.functions import text as X
 from strandwise.functions.similarity import LEXICAL, lexical
 from strandwise.operators import anchors as A
 from strandwise.operators import bindings as B
 from strandwise.operators import chunking, kg, metrics, recovery
-from strandwise.operators.rank import dense_ids, first_by, top
+from strandwise.operators.rank import dense_ids, top
 from strandwise.plans import stage1, star
 from strandwise.sources import json_sources as J
 from strandwise.workspace import Workspace
@@ -237,27 +238,6 @@ def answer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.round(F.avg("em"), 6).alias("em"), F.round(F.avg("f1"), 5).alias("f1"))
 
 
-def json_alias_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples between names from JSON lines with aliased keys: entities are numbered as they first appear."""
-    props = F.from_json("props", "struct<k: string>")
-    line = F.to_json(F.struct(F.concat(F.lit("user"), F.col("user_id")).alias("h"), F.col("event_type").alias("predicate"), F.concat(F.lit("item"), props["k"]).alias("object")))
-    rows = star.table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), line.alias("line"))
-    own = F.from_json("line", "struct<head: string, h: string, subject: string, relation: string, r: string, predicate: string, tail: string, t: string, object: string>")
-    parsed = rows.select("pos", own.alias("o"))
-    parts = parsed.select("pos", *[X.first_text(*[F.col(f"o.{c}") for c in names]).alias(p) for p, names in (("head", ("head", "h", "subject")), ("relation", ("relation", "r", "predicate")), ("tail", ("tail", "t", "object")))]).filter("head is not null and relation is not null and tail is not null")
-    ends = parts.select("pos", F.posexplode(F.array("head", "tail")).alias("side", "name")).groupBy("name").agg(F.min(F.struct("pos", "side")).alias("at")).select("name", "at.pos", "at.side")
-    ids = dense_ids(ends, ["pos", "side"], "id").select("name", "id")
-    return parts.join(ids.select(F.col("name").alias("head"), F.col("id").alias("head_id")), "head").join(ids.select(F.col("name").alias("tail"), F.col("id").alias("tail_id")), "tail").select("pos", "head_id", "relation", "tail_id")
-
-
-def page_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct texts of each title joined in order, with documents as paragraphs of their source."""
-    docs = star.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("title"), X.text(F.col("text")).alias("text")).filter("text <> ''")
-    once = first_by(docs, ["title", "text"], [F.col("pos")])
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
-    return once.groupBy("title").agg(F.count("*").cast("long").alias("n"), F.md5(F.array_join(listed, "\n\n")).alias("digest"))
-
-
 def entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.table(spark, sf_dir, "part").groupBy("p_type").agg(F.count("*").alias("n")).select("p_type", X.entity_type(F.col("p_type")).alias("type"), "n")
 
@@ -277,7 +257,7 @@ QUERIES = {
     for f in (
         kg_entities, kg_triples, kg_one_hop, kg_degree, title2entities, title2triples, anchor_candidates, anchor_topk_ratio, constraint_types,
         relation_topk, rerank_select, neff, bindings_consolidated, binding_filter, propagation, evidence_assembly, stage1_items, query_texts,
-        embedding_topk, text_provenance, text_recovery, support_recall, chunk_pack, em_f1, answer_summary, json_alias_ingest, page_merge,
+        embedding_topk, text_provenance, text_recovery, support_recall, chunk_pack, em_f1, answer_summary,
         entity_types, similar_names,
     )
-}
+} | file_queries.QUERIES | evidence_queries.QUERIES
