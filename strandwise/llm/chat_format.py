@@ -11,8 +11,11 @@ Template: a message is ``[TAG] `` + escaped text + a closing tag.  Inside texts
 ``\\``, ``[`` and ``<`` gets a backslash, and every control string begins with ``[`` or ``<``, so no
 text can hold one; unescaping drops the backslashes.
 
-Null text is empty; a null role is the role ''; null ids form a conversation of their own.  Rows
-that repeat a position are folded in the order of seq, then kind, then text.  Empty logs give no row.
+Null text is empty; a null role is the role ''; null ids form a conversation of their own, and null positions
+come first.  Rows of a log that repeat a position are one message, folded in the order of seq, then kind, then
+text.  Turns that repeat a position are messages of their own, in the order of a hash of role and text; identical
+ones, which no order tells apart, as often as they occur.  Empty logs and tables give no row.  Other columns,
+whatever their names, are ignored.  A message has to fit into a task, a conversation needn't.
 """
 
 from __future__ import annotations
@@ -78,18 +81,21 @@ def fold(events: Iterator[tuple[str, str | None, str]]) -> tuple[str, str]:
 
 
 def to_events(turns: DataFrame, step: int = 256) -> DataFrame:
-    """A log that a chat server would have written for finished ``turns`` (conv_id, turn, role, text):
-    an ``open``, then the text in deltas of ``step`` characters."""
+    """A log that a chat server would have written for finished ``turns`` (conv_id, turn, role, text): an ``open``,
+    then the text in deltas of ``step`` characters.  Every third position was drafted and regenerated, and every other
+    third was drafted and edited before it went on, so that folding the log has to undo both."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("position"), F.col("role").cast("string").alias("role"), text.alias("text"))
-    pieces = F.transform(
-        F.expr(f"sequence(0, greatest(0, cast(ceil(length(text) / {step}.0) as int) - 1))"),
-        lambda i: F.struct((i + 1).alias("seq"), F.lit("delta").alias("kind"), F.substring(F.col("text"), i * step + 1, F.lit(step)).alias("text")),
-    )
-    opened = F.array(F.struct(F.lit(0).alias("seq"), F.lit("open").alias("kind"), F.lit("").alias("text")))
+    pieces = F.transform(F.expr(f"sequence(0, greatest(0, cast(ceil(length(text) / {step}.0) as int) - 1))"), lambda i: F.substring(F.col("text"), i * step + 1, F.lit(step)))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    opened, draft = event("open", F.lit("")), event("delta", F.concat(F.substring("text", 3, 20), F.lit("?")))
+    third = F.pmod("position", F.lit(3))
+    before = F.when(third == 1, F.array(opened, draft, event("regenerate", F.lit("")))).when(third == 2, F.array(opened, draft)).otherwise(F.array(opened))
+    own = F.transform(pieces, lambda x, i: F.struct(F.when((third == 2) & (i == 0), "edit").otherwise("delta").alias("kind"), x.alias("text")))
+    events = F.transform(F.concat(before, own), lambda x, i: F.struct(i.alias("seq"), x["kind"].alias("kind"), x["text"].alias("text")))
     # Turns that repeat a position stay messages of their own, identical rows too, which only the row number tells apart.
     numbered = row.withColumn("copy", F.xxhash64("role", "text")).withColumn("row", F.monotonically_increasing_id())
-    return numbered.select("conv_id", "position", "copy", "row", "role", F.inline(F.concat(opened, pieces)))
+    return numbered.select("conv_id", "position", "copy", "row", "role", F.inline(events))
 
 
 class _Conversation:

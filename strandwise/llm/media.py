@@ -10,8 +10,12 @@ Shards lie under the shared folder and are named by task and attempt; the manife
 Spark's committer, names only shards of attempts that succeeded, so a lost executor's half-written
 shard is never read.  Shards are opened by URI through pyarrow's file systems.
 
+A payload that several tasks have is a member of each one's shard, since dealing payloads by digest would
+shuffle all of them; only the member that the locator names is read.
+
 Null text is the empty text, whose payload is 192 spaces.  Rows that repeat an id stay rows.
-Equal payloads share one member and all values.  Empty tables give empty results.
+Equal payloads share one locator and all values.  Empty tables give empty results.  Other columns, whatever their
+names, are ignored.  A task holds one payload of any length, about 8 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -225,4 +229,4 @@ def media_columns(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media_columns(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", F.col("read_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "channels")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", F.col("read_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "channels", "shard", "offset")

@@ -19,8 +19,9 @@ the two characters beside the cut, and each distinct part is built once.
 
 Null and empty texts have one segmentation, without pieces, of probability and score 1.  A text with
 fewer than k segmentations gives those it has.  The mark U+2581 in a text is decoded as a space, as
-SentencePiece does.  Rows that repeat a key and text get equal samples; a null key counts as -1.
-Empty tables give empty results.
+SentencePiece does.  Rows that repeat a key and text get equal samples; a null key counts as -1.  Of sets that arrive at one time the
+first along the path counts.  Empty tables give empty results.  Other columns, whatever their names, are ignored.  A
+task holds one text of any length, with about 400 bytes for each of its characters that no other part repeats.
 """
 
 from __future__ import annotations
