@@ -36,7 +36,7 @@ def _generalised(lines: Column) -> Column:
     Regular expressions are slow, so only lines that need them meet them.  Each step is a transform of
     its own, since an expression that a lambda uses twice is computed twice.
     """
-    trimmed = F.transform(lines, F.trim)
+    trimmed = F.transform(lines, lambda x: F.trim(x))  # noqa: PLW0108 - a second parameter of trim would get the index
     squeezed = F.transform(trimmed, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
     return F.transform(squeezed, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(x))
 

@@ -49,3 +49,40 @@ def components(docs):
                 p, q = sorted((root(sets[a][0]), root(sets[b][0])))
                 up[q] = p
     return {i: (len(s), root(i)) for i, s in sets}
+
+
+def kept_lines(docs, least=5):
+    """The texts of (id, text) rows without their recurring lines."""
+
+    def template(line):
+        return re.sub(r"[^ ]*[0-9][^ ]*", "<*>", re.sub(r"[ \t\r\x0b\f]+", " ", line).strip(" ")) or None
+
+    lines = [(t or "").split("\n") for _, t in docs]
+    found = [[template(x) for x in own] for own in lines]
+    sequences = [tuple(x for x in own if x) for own in found]
+    alike = {}
+    for t in {x for own in found for x in own if x}:
+        words = t.split(" ")
+        if len(words) >= 5:
+            for k in range(len(words) // 2, len(words)):
+                alike.setdefault((k, *words[:k], None, *words[k + 1 :]), set()).add(t)
+    variable = {}
+    for (k, *_), group in alike.items():
+        if len(group) >= least:
+            for t in group:
+                variable.setdefault(t, set()).add(k)
+    name = {t: (tuple(sorted(at)), *(None if k in at else w for k, w in enumerate(t.split(" ")))) for t, at in variable.items()}
+    named = [[name.get(x, x) for x in own] for own in found]
+
+    def often(rows):
+        have = {}
+        for own, sequence in rows:
+            for x in own:
+                if x:
+                    have.setdefault(x, set()).add(sequence)
+        return {x for x, s in have.items() if len(s) >= least}
+
+    recurring = often(zip(named, sequences))
+    votes = [sum(x in recurring for x in own) * 2 <= len(s) for own, s in zip(named, sequences)]
+    gone = often(([x for x in own if x in recurring], s) for own, s, v in zip(named, sequences, votes) if v)
+    return ["\n".join(x for x, n in zip(own, names) if n not in gone) for own, names in zip(lines, named)]

@@ -1,3 +1,6 @@
+import random
+
+import brute
 from conftest import pairs_of
 
 from strandwise.llm import line_dedup as L
@@ -71,6 +74,21 @@ def test_other_white_space_and_blank_lines(spark):
     assert kept(spark, texts) == {k: f"p{'x' * k}\n\nq{'y' * k}\n" for k in range(6)}
 
 
+def test_against_a_plain_version(spark):
+    rng = random.Random(6)
+    words = [f"w{c}{d}" for c in "abcdef" for d in "xyz"]
+    lines = [" ".join(rng.choices(words, k=rng.randint(1, 7))) for _ in range(12)] + ["", "page 1 of 2", " \t"]
+    rows = []
+    for i in range(150):
+        own = [rng.choice([rng.choice(lines), rng.choice(lines) + " " + rng.choice(words), " ".join(rng.choices(words, k=6)), f"see {rng.choice(words)} on page {i}"]) for _ in range(rng.randint(0, 7))]
+        rows.append((rng.choice([i, i, 7, None]), "\n".join(own) if own else None))
+    got = L.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = brute.kept_lines(rows)
+    key = lambda x: (str(x[0]), x[1])
+    assert sorted([(r.doc_id, r.text or "") for r in got], key=key) == sorted([(i, t) for (i, _), t in zip(rows, want)], key=key)
+    assert sum(len(t or "") for _, t in rows) > 1.05 * sum(map(len, want))
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     out = L.drop_lines(spark, odd_docs)
     assert out.columns == [*odd_docs.columns, "__n_lines", "__n_dropped"]
