@@ -9,9 +9,10 @@ they are, since too little of them would be left to tell them by.  A template's
 one by one, each with all other tokens equal; fields among the leading tokens vary only by digits.
 
 A template recurs if at least ``min_docs`` texts have it; texts whose lines have the same templates
-are copies and count once.  A recurring template is dropped from all documents if at least ``min_docs``
-of its texts consist of recurring lines by no more than half: texts of which more recurs are near copies
-of each other, to be judged as documents, and aren't emptied for being many.
+are copies and count once.  A line also counts as one that may recur if it has ``LEAF_TOKENS`` tokens or more and
+its leaf does.  A text of which at most half may recur stands for itself; more means that it is a near copy of
+others, which are to be judged as documents and aren't emptied for being many.  A recurring template is dropped from
+all documents if at least ``min_docs`` of its texts stand for themselves, and a quarter of them.
 
 Null text counts as empty: it has one blank line.  Blank lines stay and count nowhere.  Rows that repeat
 an id, and those with a null id, are judged by their own texts, and each loses its own lines that go.  Empty
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from strandwise.llm.workspace import Workspace
 
 LEAST_TOKENS = 5
+#: Lines of so many tokens have leaves that unrelated texts hardly share: four leading tokens or more.
+LEAF_TOKENS = 8
 MIN_DOCS = 5
 
 
@@ -99,8 +102,8 @@ def generalised_templates(ws: Workspace, docs: DataFrame, lines: DataFrame, min_
     return ws.save(found.select("leaf", "template", F.xxhash64("leaf", "at", F.col("all").bitwiseXOR(F.col("gone"))).alias("general")), "general")
 
 
-def _often(pairs: DataFrame, min_docs: int) -> DataFrame:
-    return pairs.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("template")
+def _often(pairs: DataFrame, by: str, min_docs: int) -> DataFrame:
+    return pairs.select(by, "sequence").distinct().groupBy(by).agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select(by)
 
 
 def places_to_drop(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,13 +112,18 @@ def places_to_drop(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOC
     lines = ws.save(line_templates(docs, id_col, text_col), "lines")
     general = generalised_templates(ws, docs, lines, min_docs, id_col, text_col)
     # Small tables are written first, so that joins read both sides from shuffles and a hot template's lines can be split.
-    pairs = ws.save(lines.select("leaf", "template", "sequence").distinct().join(general.hint("merge"), ["leaf", "template"], "left").withColumn("general", F.coalesce("general", "template")), "pairs")
-    often = ws.save(_often(pairs.select(F.col("general").alias("template"), "sequence").distinct(), min_docs), "often")
-    recurring = ws.save(pairs.select("leaf", "template", "general").distinct().join(often.select(F.col("template").alias("general")).hint("merge"), "general"), "recurring")
-    hits = ws.save(lines.join(recurring.hint("merge"), ["leaf", "template"]).select("doc_id", "version", "sequence", "n_lines", "pos", F.col("general").alias("template")), "hits")
-    own = hits.groupBy("sequence", "doc_id", "version", "n_lines").agg(F.countDistinct("pos").alias("n"))
-    voters = ws.save(own.filter(F.col("n") * 2 <= F.col("n_lines")).select("sequence").distinct(), "voters")
-    templates = ws.save(_often(hits.select("template", "sequence").distinct().join(voters.hint("merge"), "sequence"), min_docs), "templates")
+    pairs = ws.save(lines.select("leaf", "template", "tokens", "sequence").distinct().join(general.hint("merge"), ["leaf", "template"], "left").withColumn("general", F.coalesce("general", "template")), "pairs")
+    often = ws.save(_often(pairs, "general", min_docs), "often")
+    recurring = ws.save(pairs.select("leaf", "template", "general").distinct().join(often.hint("merge"), "general"), "recurring")
+    place = ["sequence", "doc_id", "version", "n_lines", "pos"]
+    hits = ws.save(lines.join(recurring.hint("merge"), ["leaf", "template"]).select(*place, F.col("general").alias("template")), "hits")
+    leaves = ws.save(_often(pairs.filter(F.col("tokens") >= LEAF_TOKENS), "leaf", min_docs), "leaves")
+    near = hits.select(*place).unionByName(lines.filter(F.col("tokens") >= LEAF_TOKENS).join(leaves.hint("merge"), "leaf").select(*place))
+    most = near.groupBy("sequence", "doc_id", "version", "n_lines").agg(F.countDistinct("pos").alias("n")).filter(F.col("n") * 2 > F.col("n_lines"))
+    most = ws.save(most.select("sequence").distinct().withColumn("near", F.lit(1)), "near")
+    votes = hits.select("template", "sequence").distinct().join(most.hint("merge"), "sequence", "left").groupBy("template").agg(F.count("*").alias("n"), F.count("near").alias("near"))
+    alone = F.col("n") - F.col("near")
+    templates = ws.save(votes.filter((alone >= min_docs) & (alone * 4 >= F.col("n"))).select("template"), "templates")
     gone = hits.join(templates.hint("merge"), "template").select("doc_id", "version", "pos")
     places = ws.save(gone.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("gone")), "gone")
     ws.close("gone")
@@ -160,10 +168,16 @@ r as (select leaf, template, i, count(*) over (partition by leaf, i, array_to_st
 a as (select template, list(i order by i) as places from r where n >= 5 group by template),
 g as (
   select template, cast(places as varchar) || ' ' || array_to_string(list_transform(string_split(template, ' '), lambda x, k: case when list_contains(places, k) then '' else x end), ' ') as general from a),
-d as (select t.doc_id, t.pos, t.line, coalesce(general, template) as template, sequence, n_lines from t join q using (doc_id) left join g using (template)),
+d as (
+  select t.doc_id, t.pos, t.line, coalesce(general, t.template) as template, sequence, n_lines, len(string_split(t.template, ' ')) as tokens,
+    len(string_split(t.template, ' ')) || ' ' || array_to_string(string_split(t.template, ' ')[1:len(string_split(t.template, ' ')) // 2], ' ') as leaf
+  from t join q using (doc_id) left join g using (template)),
 c as (select template from d where template is not null group by template having count(distinct sequence) >= 5),
-h as (select *, count(*) over (partition by doc_id) * 2 <= n_lines as votes from d join c using (template)),
-f as (select template from h where votes group by template having count(distinct sequence) >= 5),
+v as (select leaf from d where tokens >= 8 group by leaf having count(distinct sequence) >= 5),
+h as (select doc_id, count(*) filter (c.template is not null or v.leaf is not null) * 2 <= any_value(n_lines) as alone from d left join c using (template) left join v on v.leaf = d.leaf and tokens >= 8 group by doc_id),
+f as (
+  select template from d join c using (template) join h using (doc_id) group by template
+  having count(distinct case when alone then sequence end) >= 5 and count(distinct case when alone then sequence end) * 4 >= count(distinct sequence)),
 k as (select d.doc_id, d.pos, d.line, f.template is not null as gone from d left join f using (template)),
 o as (select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as kept from k group by doc_id)
 select doc_id, n_lines, n_dropped, length(kept) as kept_chars, sha256(kept) as kept_sha256 from o

@@ -82,7 +82,16 @@ def kept_lines(docs, least=5):
                     have.setdefault(x, set()).add(sequence)
         return {x for x, s in have.items() if len(s) >= least}
 
+    def leaf(t):
+        words = (t or "").split(" ")
+        return (len(words), *words[: len(words) // 2]) if len(words) >= 8 else None
+
     recurring = often(zip(named, sequences))
-    votes = [sum(x in recurring for x in own) * 2 <= len(s) for own, s in zip(named, sequences)]
-    gone = often(([x for x in own if x in recurring], s) for own, s, v in zip(named, sequences, votes) if v)
+    leaves = often(([leaf(x) for x in own], s) for own, s in zip(found, sequences))
+    alone = [sum(x in recurring or leaf(t) in leaves for x, t in zip(own, all_)) * 2 <= len(s) for own, all_, s in zip(named, found, sequences)]
+    votes = {}
+    for own, s, a in zip(named, sequences, alone):
+        for x in set(own) & recurring:
+            votes.setdefault(x, {})[s] = a
+    gone = {x for x, v in votes.items() if sum(v.values()) >= least and 4 * sum(v.values()) >= len(v)}
     return ["\n".join(x for x, n in zip(own, names) if n not in gone) for own, names in zip(lines, named)]

@@ -77,7 +77,7 @@ def test_other_white_space_and_blank_lines(spark):
 def test_against_a_plain_version(spark):
     rng = random.Random(6)
     words = [f"w{c}{d}" for c in "abcdef" for d in "xyz"]
-    lines = [" ".join(rng.choices(words, k=rng.randint(1, 7))) for _ in range(12)] + ["", "page 1 of 2", " \t"]
+    lines = [" ".join(rng.choices(words, k=rng.randint(1, 11))) for _ in range(14)] + ["", "page 1 of 2", " \t"]
     rows = []
     for i in range(150):
         own = [rng.choice([rng.choice(lines), rng.choice(lines) + " " + rng.choice(words), " ".join(rng.choices(words, k=6)), f"see {rng.choice(words)} on page {i}"]) for _ in range(rng.randint(0, 7))]
@@ -86,7 +86,7 @@ def test_against_a_plain_version(spark):
     want = brute.kept_lines(rows)
     key = lambda x: (str(x[0]), x[1])
     assert sorted([(r.doc_id, r.text or "") for r in got], key=key) == sorted([(i, t) for (i, _), t in zip(rows, want)], key=key)
-    assert sum(len(t or "") for _, t in rows) > 1.05 * sum(map(len, want))
+    assert sum(map(len, want)) < sum(len(t or "") for _, t in rows)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):

@@ -59,7 +59,7 @@ def test_run(spark, sf_dir):
 
 def test_odd_rows(spark, odd_docs, no_docs):
     columns = odd_docs.columns
-    for docs, want in ((odd_docs, [8, 8, 4, 4]), (no_docs, [0] * 4)):
+    for docs, want in ((odd_docs, [11, 11, 5, 5]), (no_docs, [0] * 4)):
         for (name, stage), n in zip(P.STAGES[:-1], want):
             docs = stage(spark, docs, "")
             assert docs.columns == columns
