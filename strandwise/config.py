@@ -15,8 +15,8 @@ class Settings:
 
     ``top_k_entity``: names per surface form; ``relation_k``: candidates kept by relation;
     ``top_n``: candidates kept by the reranker, and bound values tried per variable;
-    ``neff_threshold``: largest effective number that counts as resolved; ``max_rounds``: propagation
-    passes; ``strict_recall``: count questions without predictions as misses.
+    ``neff_threshold``: largest effective number that counts as resolved; ``strict_recall``: count questions
+    without predictions as misses.
     """
 
     dataset: str = "musique"

@@ -55,6 +55,7 @@ def triple_line(head: Column, relation: Column, variants: Column, tail: Column)
 def answer_prompts(items: DataFrame, settings: Settings) -> DataFrame:
     """(qid, model_input) of ``items(qid, question, triples_evidence)``; evidence lines follow constraints in order."""
 
+    # The labels of triples and evidence lines.
     def block(te: Column) -> Column:
         line = triple_line(te["query_triple"]["head"], F.lit(""), te["query_triple"]["relation_variants"], te["query_triple"]["tail"])
         shown = F.slice(te["candidate_evidences"], 1, settings.prompt_max_texts)

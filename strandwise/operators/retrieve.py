@@ -56,6 +56,7 @@ def rerank(candidates: DataFrame, scorer: Scorer, settings: Settings) -> DataFra
     """Best ``top_n`` by logit, ties to the larger ``pos``; ``sel`` counts from 0."""
     asked = query_text(F.col("task_head"), F.col("relation_variants"), F.col("task_tail"), settings.max_variants_in_text)
     lead = F.concat(text(F.col("question")), F.lit(" ")) if settings.include_question_in_rerank else F.lit("")
+    # The labels in a reranker's query.
     rows = candidates.withColumn("query_text", text(F.concat(F.lit("question: "), lead, F.lit(" UnknownTriple: "), asked)))
     rows = scorer.add(rows.withColumn("triple_text", triple_text(F.col("head"), F.col("relation"), F.col("tail"))), "query_text", "triple_text", "logit")
     best = top(rows.withColumn("logit", F.col("logit").cast("double")), KEY, [F.desc("logit"), F.desc("pos")], max(1, settings.top_n), "sel")

@@ -16,6 +16,7 @@ from strandwise.operators.kg import dedupe_mentions, link_triples, resolve_entit
 from strandwise.sources.llm_client import Client, ask
 from strandwise.workspace import Workspace
 
+# Fixed value: names of keys in a model's answers.
 _OBJECT = "struct<entities: array<string>, named_entities: array<string>, triples: array<string>>"
 
 

@@ -14,6 +14,7 @@ from strandwise.sources import json_sources as J
 from strandwise.sources.kg_sources import Graph, load_graph, write_bundle
 from strandwise.sources.llm_client import Client
 from strandwise.sources.pages import first_pages, load_pages, merge_pages
+from strandwise.workspace import Workspace
 
 
 def read_examples(spark: SparkSession, path: str, settings: Settings) -> DataFrame:
@@ -41,8 +42,8 @@ def run_stage1(items: DataFrame, graph: Graph, settings: Settings, relation: Sco
 
 def run_retrieval(spark: SparkSession, plan_path: str, data_path: str, kg_path: str, out: str, settings: Settings, relation: Scorer = LEXICAL, reranker: Scorer = ZERO) -> tuple[DataFrame, DataFrame]:
     """Both stages; writes ``out/stage1`` and ``out/stage2`` as Parquet and JSON lines, and returns them read back."""
-    graph = load_graph(spark, kg_path).cached()
-    items = read_items(spark, plan_path, data_path, settings).persist()
+    graph = load_graph(spark, kg_path).saved(spark)
+    items = Workspace(spark, "items").save(read_items(spark, plan_path, data_path, settings), "items")
     first, done = run_stage1(items, graph, settings, relation, reranker)
     J.write_table(first, f"{out}/stage1")
     J.write_lines(spark.read.parquet(f"{out}/stage1"), f"{out}/stage1_json")

@@ -1,17 +1,20 @@
 """Question sets, query plans and their writers.
 
-Whole-file JSON is read by ``multiLine`` readers, one document a file; a file of up to a few hundred MB is
-one task.  Convert larger sets to Parquet or JSON lines once (``write_lines``) and read those.
+JSON lines are read line by line, and a JSON list item by item, a file being one task; an object that has the list
+under a key is one row while it is read.  Convert large sets of those to Parquet or JSON lines once (``write_lines``).
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.functions.text import distinct_exact, distinct_ignoring_case, first_text, text
-from strandwise.operators.rank import first_by
+from strandwise.operators.rank import dense_ids, first_by
 
+# Names of keys in question sets and plans.
 LIST_KEYS = ("data", "examples", "items", "questions")
 CONSTRAINT = "STRUCT<head: STRING, tail: STRING, relation_variants: ARRAY<STRING>>"
 SENTENCE_EXAMPLE = "_id STRING, id STRING, qid STRING, question STRING, answer STRING, context ARRAY<STRING>, contexts ARRAY<STRING>, supporting_facts ARRAY<ARRAY<STRING>>"
@@ -32,20 +35,43 @@ def read_document(spark: SparkSession, path: str, schema: str | None = None) ->
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def _in_place(rows: DataFrame) -> DataFrame:
+    """``rows`` read from files, with ``pos``, their place in the order of files and of rows in a file."""
+    marked = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
+    return dense_ids(marked, ["__file", "__block", "__row"], "pos").drop("__file", "__block", "__row")
+
+
+def _is_line(head: str, keys: tuple[str, ...]) -> bool:
+    """Is this first line of a file a whole object that has no list under any of ``keys``?"""
+    try:
+        found = json.loads(head)
+    except ValueError:
+        return False
+    return isinstance(found, dict) and not any(isinstance(found.get(k), list) for k in keys)
+
+
 def read_list(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...] = ("data",)) -> DataFrame:
     """Rows of a JSON list, of the list under the first of ``keys`` that an object has, or of JSON lines.
 
-    ``pos`` is a row's place.  Rows that don't parse are dropped; a file without any list is an error.
+    The first line that isn't blank shows which; files of one path are of one kind.  ``pos`` is a row's place, over all
+    files in the order of their names.  Lines that don't parse are dropped and keep their places; items that don't
+    fit have null fields.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("__file"))
-    item = f"array<struct<{schema_body(schema)}>>"
-    as_list = F.from_json("value", item)
-    under = F.coalesce(*[F.from_json("value", f"struct<{k}: {item}>")[k] for k in keys])
-    # Lines, where the text is neither a list nor an object with one.
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.when(F.trim(x) != "", F.from_json(x, f"struct<{schema_body(schema)}>"))), lambda x: x.isNotNull())
-    found = F.when(F.startswith("value", F.lit("[")), as_list).otherwise(F.coalesce(under, lines))
-    rows = raw.select("__file", F.posexplode(found).alias("pos", "r")).filter("r is not null")
-    return rows.select("r.*", F.col("pos").cast("long").alias("pos"))
+    text = spark.read.text(path)
+    head = [r[0] for r in text.filter(F.trim("value") != "").select(F.trim("value")).take(1)]
+    item = f"struct<{schema_body(schema)}>"
+    if head and head[0].startswith("["):
+        return _in_place(spark.read.option("multiLine", True).schema(schema).json(path))
+    if head and not _is_line(head[0], keys):
+        under = spark.read.option("multiLine", True).schema(", ".join(f"`{k}` array<{item}>" for k in keys)).json(path)
+        found = under.select(F.coalesce(*[F.col(f"`{k}`") for k in keys]).alias("__items"), "_metadata").filter("__items is not null")
+        if not found.select("__items").isEmpty():
+            placed = _in_place(found).withColumnRenamed("pos", "__at")
+            rows = placed.select("__at", F.posexplode("__items").alias("__pos", "r")).filter("r is not null")
+            # One file's list is read as one row, so that places in it are at hand.
+            return rows.select("r.*", (F.col("__at") * F.lit(1 << 32) + F.col("__pos")).cast("long").alias("pos"))
+    lines = _in_place(text.select("value", "_metadata").filter(F.trim("value") != ""))
+    return lines.select(F.from_json("value", item).alias("r"), "pos", F.try_parse_json("value").isNotNull().alias("__ok")).filter("__ok and r is not null").select("r.*", "pos")
 
 
 def schema_body(ddl: str) -> str:
@@ -71,7 +97,6 @@ def write_table(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def export_list(rows: DataFrame, path: str, indent: int = 2) -> None:
     """A pretty JSON list in one local file, written row by row on the driver, for small results."""
-    import json
     import os
 
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)

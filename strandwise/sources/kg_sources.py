@@ -15,6 +15,7 @@ from strandwise.functions.text import first_text
 from strandwise.operators.kg import META, META_FIELDS, entity_name, meta_struct, parse_triples
 from strandwise.operators.rank import dense_ids
 from strandwise.sources.json_sources import read_lines, write_lines
+from strandwise.workspace import Workspace
 
 ALIASES = {"head": ("head", "h", "subject"), "relation": ("relation", "r", "predicate"), "tail": ("tail", "t", "object")}
 LINE = ", ".join(f"{x} STRING" for names in ALIASES.values() for x in names) + ", " + META
@@ -26,8 +27,10 @@ class Graph:
     entities: DataFrame
     triples: DataFrame
 
-    def cached(self) -> Graph:
-        return Graph(self.entities.persist(), self.triples.persist())
+    def saved(self, spark: SparkSession) -> Graph:
+        """The graph written to the shared folder and read from there."""
+        ws = Workspace(spark, "graph")
+        return Graph(ws.save(self.entities, "entities"), ws.save(self.triples, "triples"))
 
 
 def _placed(rows: DataFrame, into: str) -> DataFrame:
@@ -62,7 +65,6 @@ def read_named(spark: SparkSession, path: str, falsy_is_missing: bool = False) -
     part = lambda p: first_text(*[F.nullif(F.col(c), F.lit("0")) for c in ALIASES[p]]) if falsy_is_missing else _alias(p)
     parts = rows.select("*", part("head").alias("__h"), part("relation").alias("__r"), part("tail").alias("__t")).filter("__h is not null and __r is not null and __t is not null")
     lines = _placed(parts, "triple_id").select("triple_id", F.col("__h").alias("h"), F.col("__r").alias("r"), F.col("__t").alias("t"), meta_struct({n: F.col(n) for n in META_FIELDS}).alias("meta"))
-    lines = lines.persist()
     ends = lines.select(F.posexplode(F.array("h", "t")).alias("side", "name"), "triple_id")
     firsts = ends.groupBy("name").agg(F.min(F.struct("triple_id", "side")).alias("at")).select("name", "at.triple_id", "at.side")
     entities = dense_ids(firsts, ["triple_id", "side"], "id").select("id", "name", F.lit(None).cast("string").alias("type"))
