@@ -163,6 +163,29 @@ def test_extraction_resumes(spark, tmp_path):
     assert chunk_pages(pages, 5).count() == 3
 
 
+def test_unanswered_titles_are_asked_again(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([("A", "Ada works.\n\nAda moved.", 0), ("B", "Rail.", 1)], "title string, text string, ord int")
+    ready = tmp_path / "ready"
+    real = extraction.ask
+    monkeypatch.setattr(extraction, "ask", lambda *a, **options: real(*a, tries=1, pause=0.0, **options))
+
+    def client():
+        def chat(msgs, **options):
+            if "moved" in msgs[1]["content"] and not ready.exists():
+                raise TimeoutError
+            return json.dumps({"entities": ["Ada"]})
+
+        return chat
+
+    out = str(tmp_path / "answers")
+    first = extraction.extract_incrementally(spark, pages, client, Settings(chunk_chars=5), out)
+    # One chunk of A has no answer, so that none of A is kept.
+    assert [r.title for r in first.collect()] == ["B"]
+    ready.touch()
+    both = extraction.extract_incrementally(spark, pages, client, Settings(chunk_chars=5), out)
+    assert sorted(r.title for r in both.collect()) == ["A", "A", "B"]
+
+
 def test_two_call_extraction(spark):
     pages = spark.createDataFrame([("A", "Ada works.", 0)], "title string, text string, ord int")
 
