@@ -22,8 +22,9 @@ sketch but for about 1e-6.  There is no cap on partners.  A task holds the shing
 ``SLICE_BYTES``, whichever is less, and at least of one text, about 45 bytes for each of its bytes.
 
 Null or empty texts, and texts without words, have the empty set and are linked with nothing.  Rows
-with one text share a class; rows that repeat the smallest id of a component are all kept.  A null id
-counts as larger than all others.  Empty tables give empty results.  Other columns are ignored.
+with one text share a class; rows that repeat the smallest id of a component are all kept.  A null id, and
+2^63 - 1, counts as larger than all others.  Empty tables give empty results.  Other columns, whatever their names, are
+ignored, or kept by :func:`one_of_each`.
 """
 
 from __future__ import annotations

@@ -18,9 +18,10 @@ they only admit positions; prefixes are compared by 96 bits of two independent h
 are compared, two different ones are taken for equal with a chance of under 1 in 1000.  Copies of a whole text are
 found by digest first and never sampled.
 
-Null text is empty; a null id counts as larger than all others; rows that repeat id and text are
+Null text is empty; a null id, and 2^63 - 1, counts as larger than all others; rows that repeat id and text are
 judged alike, and rows that repeat an id never remove from one another.  Texts of under 50 bytes
-are left alone.  Empty tables give empty results.  Other columns are ignored.
+are left alone.  Empty tables give empty results.  Other columns, whatever their names, are ignored.  A text longer
+than a chunk is a chunk of its own, for which a task holds about 60 bytes for each byte.
 """
 
 from __future__ import annotations
