@@ -1,7 +1,12 @@
 """Documents to packed sequences, with the operators of strandwise.llm.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns the documents that it keeps, with their
-columns; the last returns the pieces of the packed sequences.  ``n_chars`` follows the text.
+columns, extra ones and those of any name among them; the last returns the pieces of the packed sequences.
+``n_chars`` follows the text.
+
+Texts that are null, empty or without a letter go in the first stage.  Rows that repeat an id stay rows, judged by
+their own texts; of near copies with one id all those that have the smallest id stay.  Null ids are never held
+out from learning, and count as larger than all others.  Ties are the operators'.  Empty tables give empty results.
 """
 
 from __future__ import annotations
