@@ -1,7 +1,8 @@
 """Documents to packed sequences, with the operators of strandwise.llm.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns the documents that it keeps, with their
-columns, extra ones and those of any name among them; the last returns the pieces of the packed sequences.
+columns, extra ones among them (names that begin with two underscores are the operators'); the last returns the
+pieces of the packed sequences.
 ``n_chars`` follows the text.
 
 Texts that are null, empty or without a letter go in the first stage.  Rows that repeat an id stay rows, judged by
