@@ -215,6 +215,11 @@ SQL = {
     "embedding_topk": """with v as (select vec_id, cast(embedding as double[]) as e from embeddings)
       select q.vec_id as query_id, v.vec_id, row_number() over (partition by q.vec_id order by list_dot_product(q.e, v.e) desc, v.vec_id) as rank, round(list_dot_product(q.e, v.e), 5) as score
       from v q, v where q.vec_id % 50 = 0 qualify rank <= 10""",
+    "vector_cosine": "select a.vec_id, round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 5) as score from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
+    "bound_tasks": f"""with {KG},
+      r as (select id, name from ent where name in (select r_name from region) order by id limit 3), n as (select id, name from ent where name in (select n_name from nation) order by id limit 3)
+      select 'both' as qid, 0 as qi, format('{{:012d}}|{{:012d}}', r.id, n.id) as inst, r.name as head, n.name as tail, r.id as head_id, n.id as tail_id from r, n
+      union all select 'both', 1, format('{{:012d}}|', id), name, '?who', id, -1 from n union all select 'both', 2, format('|{{:012d}}', id), '?who', name, -1, id from r""",
     "text_provenance": f"with {_CONTAINED} select doc_id, item_id from contained",
     "text_recovery": f"with {_RECOVERY} select cast(n as varchar) as qid, place, doc_id, sent_idx, round(logit, 6) as similarity from best",
     "support_recall": f"""with {_CONTAINED}, {_RECOVERY},

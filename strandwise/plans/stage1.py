@@ -78,7 +78,9 @@ def second_tasks(typed: DataFrame, bound: DataFrame, graph: Graph, settings: Set
     side = lambda s: named.select("qid", F.col("var").alias(s), F.col("eid").alias(f"{s}_id"), F.col("name").alias(f"{s}_name"))
     double = typed.filter("triple_type = 'double_var'")
     rows = double.join(side("head"), ["qid", "head"], "left").join(side("tail"), ["qid", "tail"], "left").filter("head_id is not null or tail_id is not null")
-    inst = F.concat(F.coalesce(F.format_string("%012d", "head_id"), F.lit("")), F.lit("|"), F.coalesce(F.format_string("%012d", "tail_id"), F.lit("")))
+    # A null would be formatted as a word.
+    number = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%012d", c)).otherwise("")
+    inst = F.concat(number("head_id"), F.lit("|"), number("tail_id"))
     tasks = rows.select("qid", "qi", inst.alias("inst"), "question", F.coalesce("head_name", "head").alias("head"), F.coalesce("tail_name", "tail").alias("tail"), "relation_variants", "triple_type", "head_id", "tail_id")
     alias = A.alias_anchors(bound, graph.entities, settings.top_k_entity)
     ends = tasks.select(*KEY, F.posexplode(F.array("head_id", "tail_id")).alias("side", "eid")).filter("eid is not null")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandwise import evidence_queries, file_queries
 from strandwise.config import Settings
 from strandwise.functions import text as X
-from strandwise.functions.similarity import LEXICAL, lexical
+from strandwise.functions.similarity import LEXICAL, cosine, lexical
 from strandwise.operators import anchors as A
 from strandwise.operators import bindings as B
 from strandwise.operators import chunking, kg, metrics, recovery
@@ -154,6 +154,23 @@ def evidence_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(ev, "idx").select("qi", "place", "idx", "triple_id", "head", "relation", "tail")
 
 
+def bound_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of the second pass for constraints between variables, of which both ends, one or none are bound."""
+    g = star.graph(spark, sf_dir)
+    ends = (("?region", "?nation"), ("?nation", "?who"), ("?who", "?region"), ("?who", "?what"))
+    typed = spark.createDataFrame([("both", k, "Where?", h, t, ["in"], "double_var") for k, (h, t) in enumerate(ends)], "qid string, qi int, question string, head string, tail string, relation_variants array<string>, triple_type string")
+    known = lambda table, name, var: g.entities.join(star.table(spark, sf_dir, table).select(F.col(name).alias("name")), "name", "left_semi").select(F.lit("both").alias("qid"), F.lit(var).alias("var"), F.col("id").alias("eid"))
+    tasks, _ = stage1.second_tasks(typed, known("region", "r_name", "?region").unionByName(known("nation", "n_name", "?nation")), g, SETTINGS)
+    return tasks.select("qid", "qi", "inst", "head", "tail", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("head_id", "tail_id")])
+
+
+def vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of each vector and the next."""
+    v = star.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    return pairs.select("vec_id", F.round(cosine(F.col("a"), F.col("b")), 5).alias("score"))
+
+
 def stage1_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested items of stage 1 as JSON."""
     items, done, g = _asia(spark, sf_dir)
@@ -256,8 +273,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         kg_entities, kg_triples, kg_one_hop, kg_degree, title2entities, title2triples, anchor_candidates, anchor_topk_ratio, constraint_types,
-        relation_topk, rerank_select, neff, bindings_consolidated, binding_filter, propagation, evidence_assembly, stage1_items, query_texts,
-        embedding_topk, text_provenance, text_recovery, support_recall, chunk_pack, em_f1, answer_summary,
+        relation_topk, rerank_select, neff, bindings_consolidated, binding_filter, propagation, evidence_assembly, bound_tasks, stage1_items, query_texts,
+        embedding_topk, vector_cosine, text_provenance, text_recovery, support_recall, chunk_pack, em_f1, answer_summary,
         entity_types, similar_names,
     )
 } | file_queries.QUERIES | evidence_queries.QUERIES
