@@ -29,6 +29,8 @@ from strandwise.llm.workspace import Workspace
 
 CHUNK_BYTES = 2 << 20
 CHUNKS_PER_RANGE = 4
+#: Chunks that a Python worker gets at once.
+BATCH = 8
 LEAST_RANGE_BITS = 7
 #: Leading bits of keys by which one hop parts them.
 FAN_BITS = 10
@@ -313,7 +315,7 @@ def exchange(ws: Workspace, name: str, table: DataFrame, send: Sender, how: Redu
     """(chunk_id, replies), written as ``name``: for each row of ``table`` (chunk_id, ...) the (range, reply) of all ranges
     that it sent keys to, each reply in the order of the keys.  Keys go in hops of ``fan_bits``."""
     replies = _exchanged(ws, name, table, send, how, 0, bits, fan_bits)
-    return ws.save(replies.groupBy("chunk_id").agg(F.collect_list(F.struct("range", "reply")).alias("replies")), name)
+    return ws.save(replies.groupBy("chunk_id").agg(F.collect_list(F.struct("range", "reply")).alias("replies")), name, batch=BATCH)
 
 
 def _exchanged(ws: Workspace, name: str, table: DataFrame, send: Sender, how: Reduction, done: int, bits: int, fan_bits: int) -> DataFrame:
@@ -331,14 +333,14 @@ def _exchanged(ws: Workspace, name: str, table: DataFrame, send: Sender, how: Re
     groups = CHUNKS_PER_RANGE << (bits - to)
     dealt = sent.withColumn("group", F.pmod(F.xxhash64("chunk_id"), F.lit(groups)))
     listed = dealt.groupBy("range", "group").agg(F.collect_list(F.struct("chunk_id", "keys", "data")).alias("m"))
-    gathered = ws.save(listed.select((F.col("range") * groups + F.col("group")).alias("chunk_id"), "range", F.col("m.chunk_id").alias("chunks"), "m.keys", "m.data"), f"{name}_hop{to}")
+    gathered = ws.save(listed.select((F.col("range") * groups + F.col("group")).alias("chunk_id"), "range", F.col("m.chunk_id").alias("chunks"), "m.keys", "m.data"), f"{name}_hop{to}", batch=BATCH)
 
     def forward(row: dict) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         keys, reduced, *_ = how.gather(row["keys"], row["data"])
         return keys, reduced
 
     above = _exchanged(ws, name, gathered, forward, how, to, bits, fan_bits)
-    above = ws.save(above.groupBy("chunk_id").agg(F.collect_list(F.struct("range", "reply")).alias("replies")), f"{name}_above{to}")
+    above = ws.save(above.groupBy("chunk_id").agg(F.collect_list(F.struct("range", "reply")).alias("replies")), f"{name}_above{to}", batch=BATCH)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):

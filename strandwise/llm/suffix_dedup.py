@@ -376,22 +376,22 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = False)
     bits = blocks.range_bits(chunks)
     names = blocks.exchange(ws, "names", chunks, _send_names(bits), _Several(bits), bits)
     ws.release()
-    segments = ws.save(chunks.join(names, "chunk_id").mapInArrow(lean(_segments(bits)), SEGMENTS), "segments")
+    segments = ws.save(chunks.join(names, "chunk_id").mapInArrow(lean(_segments(bits)), SEGMENTS), "segments", batch=blocks.BATCH)
     del names
     ws.release()
     longer = blocks.exchange(ws, "longer", segments, _send_longer(bits), _Several(bits), bits)
     ws.release()
-    segments = ws.save(segments.join(longer, "chunk_id").mapInArrow(lean(_narrow(bits)), SEGMENTS), "narrow")
+    segments = ws.save(segments.join(longer, "chunk_id").mapInArrow(lean(_narrow(bits)), SEGMENTS), "narrow", batch=blocks.BATCH)
     del longer
     ws.drop("names", "segments", "longer")
     ws.release()
     prefixes = blocks.exchange(ws, "prefixes", segments, _send_prefixes, PREFIXES, bits)
     ws.release()
-    spans = ws.save(segments.join(prefixes, "chunk_id").mapInArrow(lean(_spans), SPANS), "spans")
+    spans = ws.save(segments.join(prefixes, "chunk_id").mapInArrow(lean(_spans), SPANS), "spans", batch=blocks.BATCH)
     del segments, prefixes
     ws.drop("narrow", "prefixes")
     ws.release()
-    cut = ws.save(chunks.join(spans, "chunk_id").mapInArrow(lean(_kept(with_text)), KEPT), "cut")
+    cut = ws.save(chunks.join(spans, "chunk_id").mapInArrow(lean(_kept(with_text)), KEPT), "cut", batch=blocks.BATCH)
     ws.drop("chunks", "spans")
     # Rows that repeat a text chunked under one id: the id's own row stands for it; copies under larger ids go whole.
     cut = cut.withColumn("__order", order).withColumnRenamed("digest", "__digest").drop("doc_id").dropDuplicates(["__order", "__digest"])
