@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -55,14 +56,18 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "zstd", batch: int | None = None) -> DataFrame:
+        """``batch``: rows that Python workers get at once, for tables whose rows have megabytes."""
         # What is written is read from now on, so the shuffles behind it go as soon as the write is done.
-        before = self.spark.conf.get(CLEANUP_KEY, "false")
-        self.spark.conf.set(CLEANUP_KEY, "true")
+        wanted = {CLEANUP_KEY: "true"} | ({BATCH_KEY: str(batch)} if batch else {})
+        before = {k: self.spark.conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         finally:
-            self.spark.conf.set(CLEANUP_KEY, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         self.saved.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
