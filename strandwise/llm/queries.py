@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op4_minhash_near_dedup": minhash_dedup.SQL,
+    "op6_suffix_dedup": suffix_dedup.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op8_lm_scoring": lm_scoring.SQL,
     "op10_chat_formatting": chat_format.SQL,

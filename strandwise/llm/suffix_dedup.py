@@ -420,3 +420,20 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("digest", "kept")
+
+
+SQL = r"""
+with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, i, b[i:i + 49] as s from (select doc_id, b, unnest(range(1, n - 48)) as i from d where n >= 50)),
+m as (select s, min(doc_id) as first from w group by s),
+g as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 50, true) as new from w join m using (s) where first < doc_id),
+r as (select doc_id, min(i) as a, max(i) + 50 as e from (select *, sum(case when new then 1 else 0 end) over (partition by doc_id order by i) as run from g) group by doc_id, run),
+t as (select doc_id, sum(e - a) as n_removed, count(*) as n_spans from r group by doc_id),
+k as (
+  select doc_id, e as x, lead(a) over (partition by doc_id order by a) as y from r
+  union all select doc_id, 1, min(a) from r group by doc_id
+  union all select doc_id, 1, null from d where doc_id not in (select doc_id from r)),
+o as (select k.doc_id, string_agg(hex(b[x:coalesce(y, n + 1) - 1]), '' order by x) as kept from k join d using (doc_id) where x < coalesce(y, n + 1) group by k.doc_id)
+select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from d left join t using (doc_id) left join o using (doc_id)
+"""
