@@ -5,7 +5,7 @@ code points are hashed to 2**16 features.  Two documented bounds hold for learni
 all rows: the ``languages`` commonest values of ``lang`` are learned (of equally common ones those that sort
 first), and counts come from about ``rows_per_language`` distinct labelled texts of each at most, chosen by a hash
 of the text.  Priors count all labelled rows of a learned value.  The log-probability matrix (features x languages,
-float32, 256 KB a language, 50 MB at most) is broadcast; whole texts are scored in numpy, in blocks of bounded size.
+doubles, 512 KB a language, 100 MB at most) is broadcast; whole texts are scored in numpy, in blocks of bounded size.
 
 Texts that are null, or have no letter, are ``und`` with score 0, as is every text if nothing could
 be learned.  Ties go to the language that sorts first.  Null ids are never held out.  Rows that repeat count in
@@ -89,7 +89,7 @@ def score(texts: list[str | None], table: np.ndarray, prior: np.ndarray) -> np.n
             f = features(c, order)
             counted = c[: len(f)] != 32
             for lang in range(len(prior)):
-                total[:, lang] += np.add.reduceat(np.where(counted, table[lang][f], np.float32(0)), np.minimum(starts, len(f) - 1), dtype=np.float64)
+                total[:, lang] += np.add.reduceat(np.where(counted, table[lang][f], 0.0), np.minimum(starts, len(f) - 1), dtype=np.float64)
         out[at] = total + prior
     return out
 
@@ -136,16 +136,16 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languag
     """(languages, log-probabilities (language, feature), log priors) from (text, lang)."""
     rows, totals = picked(labelled, rows_per_language, languages)
     if not totals:
-        return [], np.zeros((0, FEATURES), np.float32), np.zeros(0)
+        return [], np.zeros((0, FEATURES)), np.zeros(0)
     parts = rows.repartition(12).mapInArrow(lean(_count_batches), "lang string, counts binary, rows long").collect()
     langs = sorted({p["lang"] for p in parts})
     if not langs:
-        return [], np.zeros((0, FEATURES), np.float32), np.zeros(0)
+        return [], np.zeros((0, FEATURES)), np.zeros(0)
     counts = np.zeros((len(langs), FEATURES))
     for p in parts:
         counts[langs.index(p["lang"])] += np.frombuffer(p["counts"], "<u4")
     smooth = counts + SMOOTHING
-    table = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+    table = np.log(smooth / smooth.sum(axis=1, keepdims=True))
     weight = np.array([totals[x] for x in langs], float)
     return langs, table, np.log(weight / weight.sum())
 
@@ -195,4 +195,46 @@ def accepted(docs: DataFrame, least_score: float = 0.5, rows_per_language: int =
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+    rows = language_id(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+    return rows.withColumn("score", F.round("score", 6))
+
+
+def _mixed(h: str, c: str) -> str:
+    """SQL of the hash ``h`` after the code point ``c``, as in :func:`features`."""
+    m = f"((xor(cast({h} as ubigint), {c}) * {0x85EBCA6B}) & {0xFFFFFFFF})"
+    return f"xor({m}, {m} >> 13)"
+
+
+def _start(order: int) -> str:
+    return str(order * 0x9E3779B1 & 0xFFFFFFFF)
+
+
+# The same counts and sums, for tables of which all distinct texts are learned from: up to ROWS_PER_LANGUAGE rows a language.
+SQL = r"""
+with recursive d as (
+  select doc_id, text, lang, list_reduce(
+      list_prepend(cast(4294967295 as ubigint), flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda ch: list_prepend(cast(unicode(ch) as ubigint), list_transform(range(8), lambda z: cast(4294967296 as ubigint)))))),
+      lambda a, o: case when o < 4294967296 then xor(a, o) else xor(a >> 1, cast(3988292384 as ubigint) * (a & 1)) end) as crc
+  from documents),
+e as (select doc_id, text, lang, xor(crc, cast(4294967295 as ubigint)) % 4 = 2 as held_out from d),
+c as (
+  select doc_id, list_concat(list_transform(string_split(lower(text), ''), lambda ch: cast(case when regexp_matches(ch, '\p{L}') then unicode(ch) else 32 end as ubigint)), [cast(32 as ubigint), cast(32 as ubigint)]) as c
+  from e where text is not null and text <> ''),
+w as (select doc_id, c[i] as c0, c[i + 1] as c1, c[i + 2] as c2 from (select doc_id, c, unnest(range(1, len(c) - 1)) as i from c) where c[i] <> 32),
+s1 as (select doc_id, c0, c1, c2, {one} as a, {two} as b, {three} as t from w),
+s2 as (select doc_id, c2, a, {b} as b, {t} as t from s1),
+g as (select doc_id, a >> 16 as f from s2 union all select doc_id, b >> 16 from s2 union all select doc_id, {last} >> 16 from s2),
+n as (select doc_id, f, count(*) as n from g group by all),
+l as (select min(doc_id) as doc_id, lang from e where not held_out and lang is not null and text is not null group by text, lang),
+p as (select lang, ln(count(*) / sum(count(*)) over ()) as prior from e where not held_out and lang is not null and text is not null group by lang),
+k as (select lang, f, sum(n) as k from l join n using (doc_id) group by all),
+z as (select lang, sum(k) + 32768 as z from k group by lang),
+x as (
+  select doc_id, lang, prior + sum(n * ln((coalesce(k, 0) + 0.5) / z)) as x
+  from n, p join z using (lang) left join k on k.lang = p.lang and k.f = n.f group by doc_id, lang, prior),
+y as (select doc_id, arg_max(lang, (x, -r)) as lang_pred, max(x) as x from (select *, row_number() over (partition by doc_id order by lang) as r from x) group by doc_id),
+v as (select doc_id, 1 / sum(exp(x.x - y.x)) as score from x join y using (doc_id) group by doc_id)
+select doc_id, coalesce(held_out, false) as held_out, coalesce(lang_pred, 'und') as lang_pred, round(coalesce(score, 0), 6) as score from e left join y using (doc_id) left join v using (doc_id)
+"""
+for _name, _part in {"one": _mixed(_start(1), "c0"), "two": _mixed(_start(2), "c0"), "three": _mixed(_start(3), "c0"), "b": _mixed("b", "c1"), "t": _mixed("t", "c1"), "last": _mixed("t", "c2")}.items():
+    SQL = SQL.replace("{" + _name + "}", _part)

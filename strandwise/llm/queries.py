@@ -23,5 +23,6 @@ ORACLE_SQL = {
     "op6_suffix_dedup": suffix_dedup.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op8_lm_scoring": lm_scoring.SQL,
+    "op9_language_id": language_id.SQL,
     "op10_chat_formatting": chat_format.SQL,
 }
