@@ -14,6 +14,17 @@ from strandwise.operators.rank import top
 BLOCK = 2048
 
 
+def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the ``k`` largest scores of each row, ties to the smaller id; only rows' best are sorted."""
+    m = scores.shape[1]
+    least = np.partition(scores, m - k, axis=1)[:, m - k] if m > k else np.full(len(scores), -np.inf)
+    row, column = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((ids[row, column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    at = np.searchsorted(row, np.arange(len(scores)))[:, None] + np.arange(min(k, m))
+    return ids[row[at], column[at]], scores[row[at], column[at]]
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank): for each of ``queries`` the ``k`` of ``vectors(vec_id, embedding)`` with the largest
     dot product in double, ties to the smaller id.
@@ -30,17 +41,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
-            best_id, best = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
+            held_ids, held = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
             for b in batches:
                 if not b.num_rows:
                     continue
                 own = b.column("embedding")
                 v = own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                ids_now = np.concatenate([best_id, np.broadcast_to(b.column("vec_id").to_numpy(), (len(qid), b.num_rows))], axis=1)
-                now = np.concatenate([best, q @ v.T], axis=1)
-                order = np.lexsort((ids_now, -now), axis=1)[:, :k]
-                best_id, best = np.take_along_axis(ids_now, order, 1), np.take_along_axis(now, order, 1)
-            yield pa.record_batch([pa.array(np.repeat(qid, best.shape[1])), pa.array(best_id.ravel()), pa.array(best.ravel())], names=["query_id", "vec_id", "score"])
+                ids_now = np.concatenate([held_ids, np.broadcast_to(b.column("vec_id").to_numpy(), (len(qid), b.num_rows))], axis=1)
+                # What is no number is as far as can be.
+                now = np.nan_to_num(np.concatenate([held, q @ v.T], axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+                held_ids, held = best(ids_now, now, k)
+            yield pa.record_batch([pa.array(np.repeat(qid, held.shape[1])), pa.array(held_ids.ravel()), pa.array(held.ravel())], names=["query_id", "vec_id", "score"])
 
         return vectors.select("vec_id", "embedding").filter("embedding is not null").mapInArrow(run, "query_id long, vec_id long, score double")
 

@@ -160,3 +160,19 @@ def test_containments(spark):
     docs = spark.createDataFrame([(1, "xx Alpha beta-gamma deltas yy"), (2, "alpha beta gamma delt"), (3, None), (4, "beta gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "Beta, gamma"), (3, ""), (4, None)], "item_id long, item string")
     assert sorted((r.doc_id, r.item_id) for r in containment.containments(docs, items).collect()) == [(1, 1), (1, 2), (2, 2), (4, 2)]
+
+
+def test_best_of_rows():
+    import numpy as np
+
+    from strandwise.operators.vectors import best
+
+    rng = np.random.default_rng(3)
+    for m, k in ((0, 3), (2, 3), (3, 3), (40, 3), (40, 1)):
+        ids = np.argsort(rng.random((7, m)), axis=1)
+        scores = rng.integers(0, 5, (7, m)).astype(float)
+        if m == 40:
+            scores[2, :38] = -np.inf
+        got_ids, got = best(ids, scores, k)
+        order = np.lexsort((ids, -scores), axis=1)[:, :k]
+        assert (got_ids == np.take_along_axis(ids, order, 1)).all() and (got == np.take_along_axis(scores, order, 1)).all()
