@@ -49,7 +49,7 @@ HASHES = TREES * LEVELS
 SKETCH_WORDS = HASHES // 32
 TILE = 8192
 #: Classes and bytes of text of a family that one task settles.
-FAMILY = 2048
+FAMILY = 8192
 FAMILY_BYTES = 4 << 20
 #: Rows and bytes of a family's block, pairs of which are compared whole.
 BLOCK = 2048
