@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.functions.text import join_texts, mentions, text
+from strandwise.functions.text import join_texts, lowered, mentions, plain, plain_in, text
 from strandwise.operators.rank import first_by
 
 FACT = ["qid", "qi", "place"]
@@ -21,6 +21,19 @@ def support_facts(evidence: DataFrame, support: DataFrame) -> DataFrame:
     return asked.join(evidence, ["qid", "idx"]).select(*FACT, "triple_id", "head", "relation", "tail", "title")
 
 
+def _asked(facts: DataFrame) -> DataFrame:
+    return facts.select(*FACT, plain(F.col("head")).alias("__head"), plain(F.col("tail")).alias("__tail"), text(F.col("title")).alias("wanted"))
+
+
+def _named() -> Column:
+    """Does the text of a pair name both ends?  What is compared was made before fact and text met, once for each."""
+    return plain_in(F.col("__head"), F.col("__low")) & plain_in(F.col("__tail"), F.col("__low"))
+
+
+def _wanted() -> Column:
+    return (F.col("wanted") == "") | (F.col("title") == F.col("wanted"))
+
+
 def sentence_evidence(facts: DataFrame, units: DataFrame) -> DataFrame:
     """For each fact at most one row: title, paragraph_idx, sent_idx, context, evidence, similarity.
 
@@ -56,15 +69,12 @@ def sentence_evidence(facts: DataFrame, units: DataFrame) -> DataFrame:
 def paragraph_evidence(facts: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """For each fact at most one paragraph of ``paragraphs(qid, ord, idx, title, text)``: the first that names both
     ends, among those with the fact's title if it has one."""
-    asked = facts.select(*FACT, "head", "tail", text(F.col("title")).alias("wanted"))
-    titled = asked.filter("wanted <> ''").join(paragraphs.withColumnRenamed("title", "wanted"), ["qid", "wanted"])
-    free = asked.filter("wanted = ''").drop("wanted").join(paragraphs.withColumnRenamed("title", "wanted"), "qid")
-    columns = [*FACT, "head", "tail", "wanted", "ord", "idx", "text"]
-    rows = titled.select(*columns).unionByName(free.select(*columns)).filter(mentions(F.col("text"), F.col("head"), F.col("tail")))
-    best = first_by(rows, FACT, [F.col("ord")])
+    texts = paragraphs.select("qid", "ord", "idx", "title", "text", lowered(F.col("text")).alias("__low"))
+    met = _asked(facts).join(texts, "qid").filter(_wanted() & _named())
+    best = first_by(met.select(*FACT, "title", "ord", "idx", "text"), FACT, [F.col("ord")])
     return best.select(
         *FACT,
-        F.col("wanted").alias("title"),
+        "title",
         F.col("idx").cast("int").alias("paragraph_idx"),
         F.lit(0).alias("sent_idx"),
         F.col("text").alias("context"),

@@ -43,3 +43,11 @@ def answer_key(s):
 def test_answer_key(spark, values):
     values = [*values, "The  Cat, an a-b!", "a", "an apple a day"]
     assert column(spark, values, X.answer_key) == [answer_key(v) for v in values]
+
+
+def test_a_plain_form_is_found_without_making_that_of_the_text(spark):
+    bodies = ["", None, "New  York-City", "newyork city", "Neu\n\tYORK, é City", "x new york citys", "new é", "東京 New... 大阪york", "1.5\u00a0new\U0001f600york"]
+    names = ["", "new york", "new york city", "york", "new", "city", "w york c", "東京 new", "大阪york", "5 new york", "new é", "."]
+    rows = spark.createDataFrame([(b, n) for b in bodies for n in names], "b string, n string").select(X.plain(F.col("n")).alias("n"), "b")
+    both = rows.select(X.plain_in(F.col("n"), X.lowered(F.col("b"))).alias("found"), ((F.col("n") != "") & F.contains(X.plain(F.col("b")), F.col("n"))).alias("want")).collect()
+    assert [r.found for r in both] == [r.want for r in both] and 0 < sum(r.found for r in both) < len(both)
