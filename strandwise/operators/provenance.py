@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.functions.text import join_texts, lowered, mentions, plain, plain_in, text
+from strandwise.functions.text import join_texts, lowered, plain, plain_in, text
 from strandwise.operators.rank import first_by
 
 FACT = ["qid", "qi", "place"]
@@ -41,25 +41,23 @@ def sentence_evidence(facts: DataFrame, units: DataFrame) -> DataFrame:
     similarity 1: of the first document with the fact's title, or of any if the fact has none.  Failing
     that, the first sentence of the first document with the title that has any, with similarity 0.
     """
-    asked = facts.select(*FACT, "head", "tail", text(F.col("title")).alias("wanted"))
-    titles = units.groupBy("qid", F.col("title").alias("wanted")).agg(F.min("doc_idx").alias("first_doc"))
-    sentences = units.filter("sent_idx is not null")
-    # A fact with a title meets its title's sentences by an equi-join; one without meets its question's.
-    titled = asked.filter("wanted <> ''").join(titles, ["qid", "wanted"]).join(sentences.withColumnRenamed("title", "wanted"), ["qid", "wanted"])
-    free = asked.filter("wanted = ''").drop("wanted").join(sentences.withColumnRenamed("title", "wanted"), "qid").withColumn("first_doc", F.col("doc_idx"))
-    rows = titled.select(*FACT, "head", "tail", "wanted", "first_doc", "doc_idx", "sent_idx", "sent", F.lit(True).alias("titled")).unionByName(
-        free.select(*FACT, "head", "tail", "wanted", "first_doc", "doc_idx", "sent_idx", "sent", F.lit(False).alias("titled"))
-    )
-    hit = mentions(F.col("sent"), F.col("head"), F.col("tail")) & (F.col("doc_idx") == F.col("first_doc"))
-    scored = rows.withColumn("hit", hit).filter("hit or titled")
-    best = first_by(scored, FACT, [F.desc("hit"), F.col("doc_idx"), F.col("sent_idx")])
+    docs = units.groupBy("qid", F.col("title").alias("wanted"), "doc_idx").agg(F.min("sent_idx").alias("sent_idx"))
+    opening = F.when(F.col("sent_idx").isNotNull(), F.struct("doc_idx", "sent_idx"))
+    titles = docs.groupBy("qid", "wanted").agg(F.min("doc_idx").alias("__first"), F.min(opening).alias("__opening"))
+    asked = _asked(facts).join(titles, ["qid", "wanted"], "left")
+    sentences = units.filter("sent_idx is not null").select("qid", "doc_idx", "title", "sent_idx", "sent", lowered(F.col("sent")).alias("__low"))
+    hit = _named() & ((F.col("wanted") == "") | (F.col("doc_idx") == F.col("__first")))
+    opens = (F.col("wanted") != "") & (F.col("doc_idx") == F.col("__opening.doc_idx")) & (F.col("sent_idx") == F.col("__opening.sent_idx"))
+    # A question's sentences meet its facts once; beside hits only the sentence to fall back to stays.
+    met = asked.join(sentences, "qid").filter(_wanted() & (hit | opens)).withColumn("hit", hit)
+    best = first_by(met, FACT, [F.desc("hit"), F.col("doc_idx"), F.col("sent_idx")])
     score = F.when(F.col("hit"), 1.0).otherwise(0.0)
     return best.select(
         *FACT,
-        F.col("wanted").alias("title"),
+        "title",
         F.col("doc_idx").cast("int").alias("paragraph_idx"),
         F.when(F.col("hit"), F.col("sent_idx")).otherwise(0).cast("int").alias("sent_idx"),
-        join_texts(F.col("wanted"), F.col("sent")).alias("context"),
+        join_texts(F.col("title"), F.col("sent")).alias("context"),
         F.col("sent").alias("evidence"),
         score.alias("similarity"),
         score.alias("sentence_similarity"),
