@@ -1,4 +1,5 @@
 import sys
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark import cloudpickle
 
 from strandwise.llm import blocks
 from strandwise.llm.lm_scoring import SUM
+from strandwise.llm.suffix_dedup import PREFIXES
 from strandwise.llm.workspace import Workspace
 
 KEYS = 400
@@ -63,3 +65,34 @@ def test_messages_grow_in_proportion(spark):
         ws.close()
     # A direct exchange would send n / CHUNKS_PER_RANGE messages a chunk.
     assert max(a_chunk.values()) <= 1.7 * min(a_chunk.values())
+
+
+def test_documents_of_6_and_30_gb_go_in_one_hop():
+    # op8 has 420 chunks at 0.51 GB of input.
+    for gb, most in ((0.5, 4), (6, 8), (30, 16)):
+        n = int(gb * 824)
+        bits = blocks.range_bits(SimpleNamespace(count=lambda n=n: n))
+        assert bits <= blocks.FAN_BITS and n / 2**bits <= most
+        assert 2**bits <= (1024 if gb <= 6 else 2048)
+
+
+@pytest.mark.parametrize("how", [SUM, PREFIXES])
+def test_a_range_is_settled_in_parts(monkeypatch, how):
+    rng = np.random.default_rng(1)
+    messages = []
+    for _ in range(30):
+        keys = np.unique(rng.integers(0, 2000, 300, dtype=np.uint64) * blocks.U64(0x9E3779B97F4A7C15))
+        values = (rng.integers(1, 9, len(keys)),) if how is SUM else (rng.integers(0, 2, len(keys)).astype("<u4"), rng.integers(0, 99, len(keys)))
+        messages.append((blocks.pack_sorted(keys), how.pack(values)))
+    sent = [list(x) for x in zip(*messages, strict=True)]
+    whole = how.answers(*sent)
+    sizes, merge = [], how.merge
+    monkeypatch.setattr(blocks, "PART_KEYS", 500)
+    monkeypatch.setattr(how, "merge", lambda each, own: sizes.append(sum(map(len, each))) or merge(each, own))
+    assert how.answers(*sent) == whole
+    assert max(sizes) <= 1000 and sum(sizes) == sum(len(blocks.unpack_sorted(k)) for k in sent[0])
+    # What a hop sends on, and the way back, are the same.
+    kept = [(k, r) for k, r, *_ in how.parts(*sent)]
+    assert np.array_equal(np.concatenate([k for k, _ in kept]), np.sort(np.concatenate([k for k, _ in kept])))
+    above = [how.pack_told(np.concatenate([r[0] if how is SUM else np.zeros(len(k), bool) for k, r in kept]))]
+    assert how.answers(*sent, above) == whole
