@@ -1,4 +1,5 @@
 import sys
+import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
@@ -96,3 +97,16 @@ def test_a_range_is_settled_in_parts(monkeypatch, how):
     assert np.array_equal(np.concatenate([k for k, _ in kept]), np.sort(np.concatenate([k for k, _ in kept])))
     above = [how.pack_told(np.concatenate([r[0] if how is SUM else np.zeros(len(k), bool) for k, r in kept]))]
     assert how.answers(*sent, above) == whole
+
+
+def test_settling_a_range_takes_little_memory():
+    rng = np.random.default_rng(2)
+    messages = [(np.sort(rng.integers(0, 1 << 63, 40000, dtype=np.uint64)), (np.ones(40000, np.int64),)) for _ in range(60)]
+    keys, data = [blocks.pack_sorted(k) for k, _ in messages], [SUM.pack(v) for _, v in messages]
+    del messages
+    tracemalloc.start()
+    SUM.answers(keys, data)
+    peak = tracemalloc.get_traced_memory()[1] / (60 * 40000)
+    tracemalloc.stop()
+    # Keys, values and answers are 24 bytes a key.
+    assert peak < 50
