@@ -63,6 +63,25 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return out
 
 
+_PIECE, _LONGER = 1, 2
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (mix(h.copy()) >> U64(44)).astype(np.int64)
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers; blocks of usual size share them."""
+    if n > 2 * BLOCK_CHARS:
+        return _power_table(base, n)
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        _POWERS[base] = _power_table(base, n)
+    return _POWERS[base][:n]
+
+
 class Vocabulary:
     """Pieces of a SentencePiece model: hashes for matching, weights, ids and bytes."""
 
@@ -93,18 +112,30 @@ class Vocabulary:
         h = np.array([((c + U64(1)) * powers[: len(c)]).sum(dtype=U64) for c in codes], U64) * np.array([2 * len(c) + 1 for c in codes], U64)
         order = np.argsort(h)
         self.hashes, self.ids = h[order], np.array(list(texts.values()))[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(mix(h.copy()) >> U64(44)).astype(np.int64)] = True
+        # By 20 bits of the hash: whether it may be a piece's (1), and that of a piece's beginning (2).
+        longer = [((c[:-1] + U64(1)) * powers[: len(c) - 1]).cumsum(dtype=U64) * (U64(2) * np.arange(1, len(c), dtype=U64) + U64(1)) for c in codes if len(c) > 1]
+        self.maybe = np.zeros(1 << 20, np.uint8)
+        self.maybe[_slot(np.concatenate([h[:0], *longer]))] = _LONGER
+        slots = _slot(self.hashes)
+        self.maybe[slots] |= _PIECE
+        # Where the slot's only piece is, or -1: it has several.
+        self.spot = np.full(1 << 20, -1, np.int32)
+        self.spot[slots] = np.where(np.bincount(slots, minlength=1 << 20)[slots] == 1, np.arange(len(h)), -1)
         inner = np.array([(int(a) << 21) | int(b) for c in codes for a, b in zip(c[:-1], c[1:], strict=True)], U64)
         self.joined = np.zeros(1 << 20, bool)
         self.joined[(mix(inner) >> U64(44)).astype(np.int64)] = True
 
-    def match(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, ids) of the hashes that are pieces'."""
-        at = np.flatnonzero(self.maybe[(mix(h.copy()) >> U64(44)).astype(np.int64)])
-        spot = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-        hit = self.hashes[spot] == h[at]
-        return at[hit], self.ids[spot[hit]]
+    def match(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, ids) of the hashes that are pieces', and the places of those that longer pieces may begin with."""
+        slots = _slot(h)
+        kind = self.maybe[slots]
+        at = np.flatnonzero(kind & _PIECE)
+        own = h[at]
+        spot = self.spot[slots[at]]
+        several = np.flatnonzero(spot < 0)
+        spot[several] = np.minimum(np.searchsorted(self.hashes, own[several]), len(self.hashes) - 1)
+        hit = self.hashes[spot] == own
+        return at[hit], self.ids[spot[hit]], np.flatnonzero(kind & _LONGER)
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -127,14 +158,26 @@ def decode(ids: list[int], path: str) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def _uniform(key: np.ndarray, *parts) -> np.ndarray:
-    """Draws in (0, 1] for keys and counters."""
+def _keyed(key: np.ndarray, *parts) -> np.ndarray:
+    """Hashes of keys and counters."""
     h = key.astype(U64)
     for p in parts:
-        h = mix(h * U64(0xA0761D6478BD642F) + np.asarray(p).astype(U64) + U64(0x632BE59BD9B4E019))
+        h = h * U64(0xA0761D6478BD642F)
+        h += np.asarray(p).astype(U64)
+        h += U64(0x632BE59BD9B4E019)
+        mix(h)
+    return h
+
+
+def _drawn(h: np.ndarray) -> np.ndarray:
     return ((h >> U64(11)).astype(np.float64) + 1) * 2.0**-53
 
 
+def _uniform(key: np.ndarray, *parts) -> np.ndarray:
+    """Draws in (0, 1] for keys and counters."""
+    return _drawn(_keyed(key, *parts))
+
+
 class Lattice:
     """Lattice of a block of texts: distinct parts, and where each text has which."""
 
@@ -153,12 +196,15 @@ class Lattice:
         starts = np.flatnonzero(cut[:n])
         lengths = np.diff(np.append(starts, n))
         sums = np.zeros(n + 1, U64)
-        np.cumsum((codes + U64(1)) * _power_table(_BASE, n), out=sums[1:])
-        inverse = _power_table(_INVERSE, n + 1)
+        np.cumsum((codes + U64(1)) * _powers(_BASE, n), out=sums[1:])
+        inverse = _powers(_INVERSE, n + 1)
         h = mix((sums[starts + lengths] - sums[starts]) * inverse[starts] + lengths.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-        _, first, self.part = np.unique(h, return_index=True, return_inverse=True)
-        self.text = np.searchsorted(ends, starts, side="right")
-        self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
+        # Distinct parts by first place, so that common ones lie near each other.
+        self.part = pa.array(h).dictionary_encode().indices.to_numpy().astype(np.int64)
+        first = np.zeros(int(self.part.max(initial=-1)) + 1, np.int64)
+        first[self.part[::-1]] = np.arange(len(h))[::-1]
+        self.bounds = np.concatenate([[0], np.searchsorted(starts, ends)])
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
         # The distinct parts' characters, one part after the other, each with a node more than characters.
         own = lengths[first]
         begin = np.cumsum(own + 1) - own - 1
@@ -173,8 +219,8 @@ class Lattice:
     def _edges(self, node: np.ndarray, to_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         v, c = self.v, self.codes
         sums = np.zeros(len(c) + 1, U64)
-        np.cumsum((c + U64(1)) * _power_table(_BASE, len(c)), out=sums[1:])
-        inverse = _power_table(_INVERSE, len(c) + 1)
+        np.cumsum((c + U64(1)) * _powers(_BASE, len(c)), out=sums[1:])
+        inverse = _powers(_INVERSE, len(c) + 1)
         src, dst, ids = [], [], []
         single = np.zeros(len(c), bool)
         at = np.arange(len(c))
@@ -182,12 +228,13 @@ class Lattice:
             at = at[to_end[at] >= size]
             if not len(at):
                 break
-            where, found = v.match((sums[at + size] - sums[at]) * inverse[at] * U64(2 * size + 1))
+            where, found, longer = v.match((sums[at + size] - sums[at]) * inverse[at] * U64(2 * size + 1))
             src.append(node[at[where]])
             dst.append(src[-1] + size)
             ids.append(found)
             if size == 1:
                 single[at[where]] = True
+            at = at[longer]
         odd = np.flatnonzero(~single)
         # A character that is no piece: an edge of its bytes, named by -1 - code.
         src.append(node[odd])
@@ -219,9 +266,10 @@ class Lattice:
         order = by_src[np.argsort(level[by_src].astype(np.uint16) if level.max() < 1 << 16 else level[by_src], kind="stable")]
         s, d, p = src[order], dst[order], logp[order]
         beta = np.zeros(nodes)
-        level = left[s]
-        levels = np.flatnonzero(np.diff(level, prepend=-1))
-        for a, b in zip(levels, np.append(levels[1:], len(s)), strict=True):
+        ends = np.cumsum(np.bincount(level))
+        for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
+            if a == b:
+                continue
             own, x = s[a:b], p[a:b] + beta[d[a:b]]
             first = np.flatnonzero(np.diff(own, prepend=-1))
             top = np.maximum.reduceat(x, first)
@@ -229,10 +277,14 @@ class Lattice:
             beta[own[first]] = top + np.log(np.add.reduceat(np.exp(x, out=x), first))
         chance = logp + beta[dst] - beta[src]
         share = np.exp(chance)
-        order = np.argsort(src + (1 - share) * 0.999, kind="stable")
+        # Almost sorted by node already, which a stable sort is quick at.
+        order = by_src[np.argsort((src + (1 - share) * 0.999)[by_src], kind="stable")]
         self.dst, self.start, self.count, self.log_chance = dst[order], start[order], count[order], np.minimum(chance[order], 0.0)
         src = src[order]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=nodes))])
+        degree = np.bincount(src, minlength=nodes)
+        self.first = np.concatenate([[0], np.cumsum(degree)])
+        self.only = degree[src] == 1
+        self.goes = (degree > 0)[self.dst]
         upto = np.cumsum(share[order])
         base = np.concatenate([[0.0], upto])[self.first[:-1]]
         self.upto = (upto - base[src]).astype(np.float64)
@@ -240,6 +292,8 @@ class Lattice:
     def ids_of(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the edges one after the other, where each edge's begin and the last's end)."""
         count = self.count[edges]
+        if count.max(initial=1) == 1:
+            return self.flat[self.start[edges]], np.arange(len(edges) + 1)
         upto = np.concatenate([[0], np.cumsum(count)])
         return self.flat[np.arange(int(upto[-1])) + np.repeat(self.start[edges] - upto[:-1], count)], upto
 
@@ -255,22 +309,23 @@ class Lattice:
 
     def finish(self, text: np.ndarray, unit: np.ndarray, node: np.ndarray, key: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Paths to the end of each part from ``node``: (row given, step, edge), sorted."""
-        rows, steps, edges = [], [], []
-        row, now, step = np.arange(len(node)), node, 0
-        seed = key[text]
+        rows, edges = [], []
+        row, now = np.arange(len(node)), node
+        begin = self.begin[self.part[self.bounds[text] + unit]]
+        seed = _keyed(key[text], salt, unit)
+        length = np.zeros(len(node), np.int64)
         while len(row):
-            e = self.draw(now, _uniform(seed[row], salt, unit[row], now - self.begin[self.part[self.bounds[text[row]] + unit[row]]]))
+            e = self.draw(now, _drawn(_keyed(seed[row], now - begin[row])))
             rows.append(row)
-            steps.append(np.full(len(row), step))
             edges.append(e)
-            now = self.dst[e]
-            more = self.first[now + 1] > self.first[now]
-            row, now, step = row[more], now[more], step + 1
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        r, s, e = np.concatenate(rows), np.concatenate(steps), np.concatenate(edges)
-        order = np.argsort(r, kind="stable")
-        return r[order], s[order], e[order]
+            length[row] += 1
+            more = np.flatnonzero(self.goes[e])
+            row, now = row[more], self.dst[e[more]]
+        upto = np.cumsum(length) - length
+        step, edge = np.repeat(np.arange(len(node)), length), np.zeros(int(length.sum()), np.int64)
+        for k, (r, e) in enumerate(zip(rows, edges, strict=True)):
+            edge[upto[r] + k] = e
+        return step, np.arange(len(edge)) - upto[step], edge
 
 
 class _Path:
@@ -303,20 +358,17 @@ def sample(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAMPLES)
         """When the sets arrive that the path leaves at each step from ``since`` on; never before that."""
         log = lat.log_chance[path.edge]
         total = np.concatenate([[0.0], np.cumsum(log)])
-        prefix = total[:-1] - total[path.bounds[:-1]][text]
+        place = np.arange(len(text)) - path.bounds[text]
+        at = np.flatnonzero(place >= since[text])
+        own, log = text[at], log[at]
+        prefix = total[at] - total[path.bounds[:-1]][own]
         with np.errstate(divide="ignore", over="ignore"):
             rate = np.exp(prefix) * -np.expm1(log)
-            only = lat.first[1:][lat_node(path.edge)] - lat.first[:-1][lat_node(path.edge)] == 1
-            wait = -np.log(_uniform(seed[text], 2 + salt, np.arange(len(text)) - path.bounds[text])) / np.where(only, 0.0, rate)
-        t = clock[text] + wait
-        t[np.arange(len(text)) - path.bounds[text] < since[text]] = np.inf
+            wait = -np.log(_drawn(_keyed(_keyed(seed, 2 + salt)[own], place[at]))) / np.where(lat.only[path.edge[at]], 0.0, rate)
+        t = np.full(len(text), np.inf)
+        t[at] = clock[own] + wait
         return t
 
-    owner = np.repeat(np.arange(len(lat.first) - 1), np.diff(lat.first))
-
-    def lat_node(edge: np.ndarray) -> np.ndarray:
-        return owner[edge]
-
     paths.append(first)
     arrivals.append(clocks(first, text[r], np.zeros(n, np.int64), 0))
     live = np.ones(n, bool)
@@ -346,12 +398,12 @@ def sample(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAMPLES)
         rows = np.flatnonzero(live)
         clock = best_t
         taken = np.zeros(n, np.int64)
-        draws = _uniform(seed, 100 + step)
+        draws, waits = _uniform(seed, 100 + step), -np.log(_uniform(seed, 1000 + step))
         for i in rows.tolist():
             p, at = int(best_path[i]), int(best_at[i])
             path = paths[p]
             spot = int(path.bounds[i]) + at
-            node = int(owner[path.edge[spot]])
+            node = int(np.searchsorted(lat.first, path.edge[spot], side="right")) - 1
             bar = barred.setdefault((p, i, at), [int(path.edge[spot])])
             choices = [x for x in range(int(lat.first[node]), int(lat.first[node + 1])) if x not in bar]
             chances = np.exp(lat.log_chance[choices])
@@ -362,8 +414,7 @@ def sample(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int = SAMPLES)
             rest = chances.sum() - np.exp(lat.log_chance[pick])
             lead = float(lat.log_chance[path.edge[path.bounds[i] : spot]].sum())
             rate = np.exp(lead) * rest if len(choices) > 1 else 0.0
-            wait = -np.log(_uniform(seed[i : i + 1], 1000 + step)[0])
-            arrivals[p][spot] = best_t[i] + wait / rate if rate > 0 else np.inf
+            arrivals[p][spot] = best_t[i] + waits[i] / rate if rate > 0 else np.inf
         # New paths: the old one up to the node, the edge drawn, the rest of its part, and fresh parts.
         at_unit = np.array([paths[best_path[i]].unit[paths[best_path[i]].bounds[i] + best_at[i]] for i in rows], np.int64)
         here = lat.dst[taken[rows]]
@@ -414,10 +465,11 @@ DIGESTED = "doc_id long, sample int, n_pieces long, log_prob double, log_inclusi
 def _run(path: str, k: int, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        flat = np.frombuffer(b"".join(v.bytes), np.uint8)
-        sizes = np.array([len(x) for x in v.bytes], np.int64)
-        starts = np.cumsum(sizes) - sizes
         mark = MARK.encode()
+        plain = [x.replace(mark, b" ") for x in v.bytes]
+        flat = np.frombuffer(b"".join(plain), np.uint8)
+        sizes = np.array([len(x) for x in plain], np.int64)
+        starts = np.cumsum(sizes) - sizes
 
         def rows(ids: list, texts: list[str]) -> pa.RecordBatch:
             keys = np.array([-1 if i is None else i for i in ids], np.int64)

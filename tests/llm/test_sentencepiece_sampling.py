@@ -1,4 +1,5 @@
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -69,6 +70,33 @@ def test_distinct_decodable_and_independent_of_batches(v):
             assert p <= 1e-9 and score <= 1e-9
 
 
+def test_lookups_end_where_no_piece_goes_on(v, monkeypatch):
+    words = ["Anblewh", "sttible", "thonreoronsetion", "edthndingwhin", "internationalization", "qzjxk", "é漢😀", "x" * 40]
+    looked, match = [], S.Vocabulary.match
+    monkeypatch.setattr(S.Vocabulary, "match", lambda self, h: looked.append(len(h)) or match(self, h))
+    lat = S.Lattice([" ".join(words), "and " * 9 + "the"], v)
+    pieces = {v.processor.id_to_piece(int(i)) for i in v.ids}
+    beginnings = {p[:n] for p in pieces for n in range(1, len(p))}
+    size = np.diff(np.append(lat.begin, len(lat.first) - 1)) - 1
+    all_, needed = 0, 0
+    for k, (begin, n) in enumerate(zip(lat.begin.tolist(), size.tolist())):
+        at = int(size[:k].sum())
+        s = "".join(map(chr, lat.codes[at : at + n].tolist()))
+        for a in range(n):
+            node = begin + a
+            got = sorted((lat.dst[lat.first[node] : lat.first[node + 1]] - begin).tolist())
+            assert got == [b for b in range(a + 1, n + 1) if s[a:b] in pieces or b == a + 1]
+            all_ += min(n - a, v.longest)
+            needed += next((m for m in range(1, n - a) if s[a : a + m] not in beginnings), n - a)
+    assert sum(looked) <= needed * 1.2 < all_ * 0.8
+
+
+def test_samples_stay_what_they_were(v):
+    texts = ["The quick brown fox  jumps,\nover 12.5 lazy dogs", "Anblewh sttible athawh " * 20, "é漢😀 ▁ x" * 3, "q" * 60]
+    got = S.sample(texts, np.array([5, -1, 7, 1 << 40]), v, 3)
+    assert [[zlib.crc32(ids.astype("<u4").tobytes()) for ids, _, _ in g] for g in got] == [[3480040384, 1378902734, 2401861277], [3883519711, 125367844, 1091416364], [3032331725, 1163238475, 3132978551], [252963932, 3905254517, 1395948670]]
+
+
 def test_table(spark, odd_docs, no_docs):
     import hashlib
 
